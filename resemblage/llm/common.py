@@ -33,17 +33,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{where[n]}").alias(n) for n in names])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    That is the session's ``spark.checkpoint.dir``. Only where it is unset, as
-    in tests, a folder below the session's warehouse is used.
+    Only where that is unset, as in tests, it is one below the session's warehouse.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    return (place or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(place or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -70,18 +73,20 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
 class Memo(dict):
     """A dict that computes what it lacks, and is emptied when it is full.
 
-    Emptying costs time, never a different result.
+    Keys longer than ``longest`` are computed each time. Emptying and leaving
+    out cost time, never a different result.
     """
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 300_000, longest: int = 1 << 30):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 

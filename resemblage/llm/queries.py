@@ -4,14 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, langid, mixing, pii, simhash
 from .common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and whether they decode to the same bytes."""
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
-ORACLES: dict[str, str] = {}
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, by a model trained on a sample of them."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, repeated to their sources' weights and shuffled."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced."""
+    return pii.redacted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_langid, op9_mixing, op10_pii)}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL}

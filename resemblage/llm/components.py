@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     the size of the largest component; each is written to the checkpoint
     folder, so that a lost executor costs one round at most. No edges: no rows.
     """
-    edges = edges.select("a", "b").filter("a <> b")
+    edges = checkpoint(edges.select("a", "b").filter("a <> b"))
     seen = None
     while True:
         edges = checkpoint(_small(_large(edges)))

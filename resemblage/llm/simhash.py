@@ -30,9 +30,11 @@ BITS, LANES = 256, 4
 #: Fingerprints at most so far apart belong together.
 DISTANCE = 52
 #: Pairs exactly DISTANCE apart are found with this probability; closer ones more often.
-RECALL = 0.95
+RECALL = 0.9
 #: Strips of a repetition, centres kept on each, and chance comers that a list may have.
 STRIPS, KEPT, LIST = 2, 2, 200
+#: Centres of a strip are a power of two, this one at least.
+CENTRES = 64
 WORDS = ("f0", "f1", "f2", "f3")
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -67,21 +69,29 @@ def fingerprint_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, at[1:] > at[:-1]
 
 
+def node_ids(f: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each fingerprint."""
+    h = np.zeros(len(f), np.uint64)
+    for k in range(LANES):
+        h = mix(h * _PAIR + f[:, k])
+    return h
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = byte_texts(batch.column(2))
         out, known = np.zeros((len(texts), LANES), np.uint64), np.zeros(len(texts), bool)
         for a, b in slices([len(t) for t in texts], 1_000_000):
             out[a:b], known[a:b] = fingerprint_all(texts[a:b])
-        columns = [pa.array(out[:, k].view(np.int64), mask=~known) for k in range(LANES)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "th", *WORDS])
+        columns = [pa.array(x.view(np.int64), mask=~known) for x in (node_ids(out), *out.T.copy())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "th", "node", *WORDS])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, f0..f3)`` for each row; ``th`` hashes the text, f0..f3 are null where it has no words."""
+    """``(doc_id, th, node, f0..f3)`` for each row; ``th`` hashes the text, ``node`` the fingerprint f0..f3, which are null where there are no words."""
     rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("th"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, th long, " + ", ".join(f"{w} long" for w in WORDS))
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, th long, node long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def _nearest(bits: np.ndarray, centres: np.ndarray, kept: int) -> np.ndarray:
@@ -117,11 +127,11 @@ def _signs(f: np.ndarray) -> np.ndarray:
 def plan(n: int, distance: int = DISTANCE, recall: float = RECALL, seed: int = 7) -> tuple[int, int]:
     """(centres of a strip, repetitions) for ``n`` fingerprints.
 
-    Centres: so many that a list gets about LIST chance comers. Repetitions: the
+    Centres: so many that a list gets LIST chance comers at most. Repetitions: the
     fewest for which pairs exactly ``distance`` apart share a list with probability
     ``recall``, as measured on random pairs.
     """
-    centres = max(4, int(np.ceil(KEPT * (n / LIST) ** (1 / STRIPS))))
+    centres = max(CENTRES, 1 << int(np.ceil(np.log2(KEPT * (max(n, 1) / LIST) ** (1 / STRIPS)))))
     rng, tries = np.random.default_rng(seed), 1000
     a = rng.integers(0, 2, (tries, BITS)).astype(np.float32) * 2 - 1
     b = a.copy()
@@ -142,15 +152,14 @@ def _assign(centres: int, repetitions: int, seed: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                node = part.column(0).to_numpy()
-                f = np.stack([part.column(k + 1).to_numpy() for k in range(LANES)], axis=1)
+                f = np.stack([part.column(k).to_numpy() for k in range(LANES)], axis=1)
                 signs, lists = _signs(f), []
                 for r in range(repetitions):
                     lists.append(_paths(signs, strips[r], KEPT) * repetitions + r)
                 lists = np.concatenate(lists, axis=1)
                 times = lists.shape[1]
-                columns = [lists.ravel(), np.repeat(node, times), *(np.repeat(f[:, k], times) for k in range(LANES))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "node", *WORDS])
+                columns = [lists.ravel(), *(np.repeat(f[:, k], times) for k in range(LANES))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", *WORDS])
 
     return run
 
@@ -195,8 +204,9 @@ def spanning(f: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
 def _search(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "list"):
-            lists, node = table.column("list").to_numpy(), table.column("node").to_numpy()
+            lists = table.column("list").to_numpy()
             f = np.stack([table.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
+            node = node_ids(f).view(np.int64)
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]])
             found = []
             for a, b in zip(bounds[:-1], bounds[1:]):
@@ -214,17 +224,16 @@ def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def close_nodes(nodes: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, seed: int = 7) -> DataFrame:
-    """Edges ``(a, b)`` that connect the ``n`` rows of ``nodes(node, f0..f3)`` as pairs within ``distance`` do."""
+    """Edges ``(a, b)`` of node ids that connect the ``n`` rows of ``nodes(f0..f3)`` as pairs within ``distance`` do."""
     centres, repetitions = plan(n, distance, recall, seed)
-    lists = nodes.select("node", *WORDS).mapInArrow(_assign(centres, repetitions, seed), "list long, node long, " + ", ".join(f"{w} long" for w in WORDS))
+    lists = nodes.select(*WORDS).mapInArrow(_assign(centres, repetitions, seed), "list long, " + ", ".join(f"{w} long" for w in WORDS))
     lists = lists.repartition("list").sortWithinPartitions("list")
     return lists.mapInArrow(_search(distance), "a long, b long").distinct()
 
 
 def _grouped(docs: DataFrame, distance: int, recall: float) -> DataFrame:
     """``(doc_id, th, node, root)`` for each row; node and root are null where there are no words."""
-    prints = fingerprints(docs)
-    prints = checkpoint(prints.select("doc_id", "th", *WORDS, F.when(F.col("f0").isNotNull(), F.xxhash64(*WORDS)).alias("node")))
+    prints = checkpoint(fingerprints(docs))
     nodes = prints.filter("node is not null").groupBy("node").agg(*[F.first(w).alias(w) for w in WORDS])
     n = nodes.count()
     roots = components(close_nodes(nodes, n, distance, recall)).withColumnRenamed("node", "r_node") if n > 1 else None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, pii, simhash
+from . import ann, bpe, chat, fingerprints, langid, mixing, pii, simhash, urls
 from .common import table
 
 
@@ -23,6 +23,26 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents and of their sources, and how the sources overlap."""
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the URL filter finds in the address of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one text."""
+    return chat.as_text(chat.format_chats(table(spark, sf_dir, "conversations")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, repeated to their sources' weights and shuffled."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -33,5 +53,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_langid, op9_mixing, op10_pii)}
-ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_langid, op4_fingerprints, op5_neighbours, op6_urls, op8_chat, op9_mixing, op10_pii)}
+ORACLES: dict[str, str] = {"op6_urls": urls.SQL, "op8_chat": chat.SQL, "op9_mixing": mixing.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, fingerprints, langid, mixing, pii, simhash, urls
+from . import ann, bpe, chat, fingerprints, langid, mixing, pii, simhash, urls, wrappers
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content of every page, without what its host's pages share."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as one text."""
     return chat.as_text(chat.format_chats(table(spark, sf_dir, "conversations")))
@@ -53,5 +58,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_langid, op4_fingerprints, op5_neighbours, op6_urls, op8_chat, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_langid, op4_fingerprints, op5_neighbours, op6_urls, op7_html, op8_chat, op9_mixing, op10_pii)}
 ORACLES: dict[str, str] = {"op6_urls": urls.SQL, "op8_chat": chat.SQL, "op9_mixing": mixing.SQL}

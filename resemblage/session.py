@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -45,3 +46,16 @@ def ship(spark: SparkSession) -> None:
                 z.write(path, path.relative_to(ROOT))
         sc.addPyFile(archive)
     sc._resemblage_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset, as in tests, one below the warehouse."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    return (place or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: read often, computed once, there when an executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,9 +32,7 @@ DISTANCE = 52
 #: Pairs exactly DISTANCE apart are found with this probability; closer ones more often.
 RECALL = 0.9
 #: Strips of a repetition, centres kept on each, and chance comers that a list may have.
-STRIPS, KEPT, LIST = 2, 2, 200
-#: Centres of a strip are a power of two, this one at least.
-CENTRES = 64
+STRIPS, KEPT, LIST = 2, 2, 1000
 WORDS = ("f0", "f1", "f2", "f3")
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -131,7 +129,7 @@ def plan(n: int, distance: int = DISTANCE, recall: float = RECALL, seed: int = 7
     fewest for which pairs exactly ``distance`` apart share a list with probability
     ``recall``, as measured on random pairs.
     """
-    centres = max(CENTRES, 1 << int(np.ceil(np.log2(KEPT * (max(n, 1) / LIST) ** (1 / STRIPS)))))
+    centres = max(KEPT, int(np.ceil(KEPT * (max(n, 1) / LIST) ** (1 / STRIPS))))
     rng, tries = np.random.default_rng(seed), 1000
     a = rng.integers(0, 2, (tries, BITS)).astype(np.float32) * 2 - 1
     b = a.copy()

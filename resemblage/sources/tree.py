@@ -53,7 +53,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ord_, path = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             content, warning = None, None
             try:
-                with open(path, "rb") as f:
+                with open(batch.column(2)[i].as_py(), "rb") as f:
                     content = f.read()
             except OSError as e:
                 warning = f"{path}: {e.strerror}"
@@ -66,8 +66,8 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     Only the list of paths is made on the driver. A file that can't be read has null
     content and a warning.
     """
-    paths = list(enumerate(walk(root)))
-    listed = spark.createDataFrame(paths, "file_ord long, path string").repartition(max(1, len(paths) // FILES_PER_TASK), "file_ord")
+    paths = [(i, p, os.path.abspath(p)) for i, p in enumerate(walk(root))]
+    listed = spark.createDataFrame(paths, "file_ord long, path string, place string").repartition(max(1, len(paths) // FILES_PER_TASK), "file_ord")
     return listed.mapInArrow(_read, "file_ord long, path string, content binary, warning string")
 
 

@@ -43,7 +43,7 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != _GAP) | (b[:-1] != _GAP)  # one gap between words
     at = np.flatnonzero(keep)
-    b, starts = b[at].astype(np.uint32), np.searchsorted(at, starts)
+    b, starts = np.concatenate([b[at], [_GAP] * 3]).astype(np.uint32), np.searchsorted(at, starts)
     gap = b == _GAP
     n = len(b) - 3
     if n <= 0:
@@ -55,7 +55,7 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     wide = inner | gap[2 : n + 2]
     ok2 = ~(gap[:n] & inner)
     ok3, ok4 = ok2 & ~inner, ok2 & ~wide
-    owner = np.searchsorted(starts, np.arange(n), side="right") - 1
+    owner = np.searchsorted(starts, np.arange(n) + gap[:n], side="right") - 1  # a gap is that before what follows
     owner = np.clip(owner, 0, len(texts) - 1)
     grams = [two[ok2], ((three[ok3] * np.uint32(0x9E3779B1)) >> _SHIFT), (((four[ok4] ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B)) >> _SHIFT)]
     return np.concatenate(grams).astype(np.int64), np.concatenate([owner[ok2], owner[ok3], owner[ok4]])

@@ -105,7 +105,7 @@ def match(a: Tree, b: Tree, memo: dict) -> int:
 def _table(xs: tuple, ys: tuple, memo: dict) -> np.ndarray:
     out = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
     kinds = {y: i for i, y in enumerate(dict.fromkeys(ys))}
-    at, known = np.array([kinds[y] for y in ys]), {}
+    at, known = np.array([kinds[y] for y in ys], np.int64), {}
     for i, x in enumerate(xs):
         if x not in known:
             known[x] = np.array([match(x, y, memo) for y in kinds], np.int32)[at]

@@ -1,0 +1,66 @@
+"""Nearest neighbours against all pairs."""
+
+import numpy as np
+from fixtures import DATA
+
+from resemblage.llm import ann
+
+SCHEMA = "vec_id long, embedding array<float>, label int, key string, shard string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 0, "no", "no") for r in rows], SCHEMA)
+
+
+def recall(ids, x, got, k):
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    least = np.sort(s, axis=1)[:, -k]
+    at = {v: i for i, v in enumerate(ids)}
+    return np.mean([np.mean([s[at[v], at[j]] >= least[at[v]] - 1e-6 for j in near]) for v, near in got.items()])
+
+
+def test_recall_over_shards(spark):
+    df = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    p = df.toPandas()
+    x = np.stack(p["embedding"])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.neighbours(df, shard=130, searches=200).collect()}
+    assert len(got) == len(p) and all(len(v) == ann.K and i not in v for i, v in got.items())
+    assert recall(p["vec_id"], x, got, ann.K) >= 0.98
+
+
+def test_recall_of_one_graph():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x[2000:] = x[:2000] + rng.normal(size=(2000, 32)) * 0.3  # pairs of neighbours
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = ann.Graph.unpack(ann.build(x).pack())
+    ids, sims = g.search(x, ann.K + 1)
+    got = {i: [j for j in row if j != i][: ann.K] for i, row in enumerate(ids.tolist())}
+    assert recall(range(len(x)), x, got, ann.K) >= 0.95 and (np.diff(sims, axis=1) <= 1e-6).all()
+
+
+def test_small_graphs():
+    x = np.eye(3, dtype=np.float32)
+    ids, _ = ann.build(x).search(x, 5)
+    assert [sorted(r) for r in ids.tolist()] == [[-1, -1, 0, 1, 2]] * 3
+    ids, _ = ann.build(x[:1]).search(x, 2)
+    assert ids[:, 0].tolist() == [0, 0, 0]
+
+
+def test_hostile_table(spark):
+    v = [1.0, 2.0, 2.0]
+    rows = [(1, v), (1, v), (2, [2.0, 4.0, 4.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 1.0]), (7, [float("nan"), 1.0, 1.0]), (8, [1.0, 2.0]), (None, [0.0, 0.0, 1.0]), (9, v), (10, [float("inf"), 0.0, 0.0])]
+    got = {r["vec_id"]: r for r in ann.neighbours(frame(spark, rows), k=3).collect()}
+    assert len(got) == 11
+    assert got[1]["neighbour_ids"] == [2, 9, None] and got[1]["similarities"][:2] == [1.0, 1.0]
+    assert all(got[i]["neighbour_ids"] == [] for i in (3, 4, 5, 6, 7, 8, 10)) and len(got[None]["neighbour_ids"]) == 3
+    assert ann.neighbours(frame(spark, [])).count() == 0
+    assert ann.neighbours(frame(spark, [(1, None)])).first()["neighbour_ids"] == []
+
+
+def test_many_copies(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100 + i, [float(np.cos(i)), float(np.sin(i))]) for i in range(40)]
+    got = {r["vec_id"]: r for r in ann.neighbours(frame(spark, rows), k=5).collect()}
+    assert len(got) == 80 and all(got[i]["similarities"] == [1.0] * 5 and i not in got[i]["neighbour_ids"] for i in range(40))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.compare import listed, role
 
 #: Names shorter than this, in bytes, are not looked for in texts.
 LEAST_NAME = 4
+#: Bytes of all names that may be broadcast.
+BROADCAST_NAMES = 16_000_000
 
 
 def exact_edges(units: DataFrame) -> DataFrame:
@@ -16,11 +22,36 @@ def exact_edges(units: DataFrame) -> DataFrame:
     return calls.join(units.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi").select("callee", "caller", "caller_ord")
 
 
-def text_edges(units: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Edges of units without callees: each other name of enough bytes that stands in the body."""
+def _scan(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for name in shared.value:
+            automaton.add_word(name, name)
+        if shared.value:
+            automaton.make_automaton()
+        for batch in batches:
+            found: list[tuple[str, str, int]] = []
+            for caller, ord_, body in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                names = {name for _, name in automaton.iter(body)} if shared.value and body else set()
+                found += [(name, caller, ord_) for name in sorted(names) if name != caller]
+            columns = [[f[k] for f in found] for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["callee", "caller", "caller_ord"])
+
+    return run
+
+
+def text_edges(units: DataFrame, names: DataFrame | None = None, broadcast: int = BROADCAST_NAMES) -> DataFrame:
+    """Edges of units without callees: each other name of enough bytes that stands in the body.
+
+    Up to ``broadcast`` bytes of names go to all tasks, which look for all of them in one pass over a body;
+    beyond that bodies and names are joined by their texts. The result is the same.
+    """
     names = units.select(F.col("name").alias("callee")) if names is None else names.select("callee")
     names = names.filter(F.octet_length("callee") >= LEAST_NAME).distinct()
-    scanned = units.filter(F.size(listed(F.col("callees"))) == 0).select(F.col("name").alias("caller"), F.col("ord").alias("caller_ord"), "body")
+    scanned = units.filter(F.size(listed(F.col("callees"))) == 0).select(F.col("name").alias("caller"), F.col("ord").alias("caller_ord"), "body").filter("caller is not null and body is not null")
+    if (names.agg(F.sum(F.octet_length("callee"))).first()[0] or 0) <= broadcast:
+        shared = units.sparkSession.sparkContext.broadcast([r["callee"] for r in names.toLocalIterator()])
+        return scanned.mapInArrow(_scan(shared), "callee string, caller string, caller_ord long")
     return scanned.join(names, F.contains("body", "callee") & (F.col("caller") != F.col("callee"))).select("callee", "caller", "caller_ord")
 
 

@@ -46,6 +46,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units as a table, as graphs read them more than once."""
+    return written(units(spark, sf_dir))
+
+
 _COSINES = f"""SELECT a.vec_id AS a_ord, b.vec_id AS b_ord, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {THRESHOLD}"""
 _BEST = f"(SELECT * FROM ({_COSINES}) ORDER BY score DESC, a_ord, b_ord LIMIT {TOP})"
@@ -106,7 +111,7 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(UNITS_SQL + "," + GRAPH_SQL + " SELECT name, array_to_string(callers, ',') AS callers FROM graph")
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.call_graph(units(spark, sf_dir)).select("name", *_joined("callers"))
+    return callgraph.call_graph(_units(spark, sf_dir)).select("name", *_joined("callers"))
 
 
 @query(UNITS_SQL + "," + GRAPH_SQL + " SELECT * FROM exact")
@@ -116,17 +121,17 @@ def exact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(UNITS_SQL + "," + GRAPH_SQL + " SELECT * FROM scanned")
 def text_scan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.text_edges(units(spark, sf_dir))
+    return callgraph.text_edges(_units(spark, sf_dir))
 
 
 @query(UNITS_SQL + "," + DOCS_SQL + " SELECT role, count(*) AS units FROM docs GROUP BY 1")
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.concept_docs(units(spark, sf_dir)).groupBy("role").agg(F.count("*").alias("units"))
+    return callgraph.concept_docs(_units(spark, sf_dir)).groupBy("role").agg(F.count("*").alias("units"))
 
 
 @query(UNITS_SQL + "," + DOCS_SQL + " SELECT ord, name, package, doc_comment, exported, receiver_type, role, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in LISTS) + " FROM docs")
 def concept_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = callgraph.concept_docs(units(spark, sf_dir))
+    docs = callgraph.concept_docs(_units(spark, sf_dir))
     return docs.select("ord", "name", "package", "doc_comment", "exported", "receiver_type", "role", *_joined(*LISTS))
 
 
@@ -146,7 +151,7 @@ _TEXT_SQL = "'Name: ' || name || chr(10) " + "".join(
 
 @query(UNITS_SQL + "," + DOCS_SQL + f" SELECT ord, {_TEXT_SQL} AS text FROM docs")
 def concept_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.concept_docs(units(spark, sf_dir)).select("ord", text.concept_text().alias("text"))
+    return callgraph.concept_docs(_units(spark, sf_dir)).select("ord", text.concept_text().alias("text"))
 
 
 @query("SELECT p_brand AS package, arg_max(p_name, p_partkey) AS body, max(p_partkey) AS ord FROM part GROUP BY 1")
@@ -185,7 +190,7 @@ FROM best JOIN docs a ON a.ord = a_ord JOIN docs b ON b.ord = b_ord)"""
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All similar pairs of vectors that have units, with evidence."""
-    own = written(units(spark, sf_dir))
+    own = _units(spark, sf_dir)
     pairs = evidence.with_units(similarity.block_pairs(vectors(spark, sf_dir), THRESHOLD), own)
     return evidence.with_evidence(pairs, callgraph.concept_docs(own))
 
@@ -204,7 +209,7 @@ def struct_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(UNITS_SQL + "," + DOCS_SQL + ", r AS (SELECT name, len(callers) AS i, len(callees) AS o, role FROM docs) SELECT name, i AS callers, o AS callees, role FROM r")
 def fan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fan-in, fan-out and the role they give."""
-    own = units(spark, sf_dir)
+    own = _units(spark, sf_dir)
     met = own.join(callgraph.call_graph(own), "name").select("name", F.size("callers").alias("callers"), F.size("callees").alias("callees"))
     return met.withColumn("role", compare.role(F.col("callers"), F.col("callees")))
 
@@ -259,7 +264,7 @@ _SENT = f"CASE WHEN octet_length({_RAW}) <= {embedding.MOST_BYTES} THEN {_RAW} E
 @query(UNITS_SQL + "," + DOCS_SQL + ", d AS (SELECT " + _TEXT_SQL + f" AS text FROM docs) SELECT DISTINCT sha256(encode('hash' || chr(0) || '0' || chr(0)) || {_SENT}) AS cache_key FROM d")
 def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of what is in the cache once all units are embedded."""
-    texts = callgraph.concept_docs(units(spark, sf_dir)).select("ord", text.concept_text().alias("text"))
+    texts = callgraph.concept_docs(_units(spark, sf_dir)).select("ord", text.concept_text().alias("text"))
     return embedding.embed(texts, embedding.HashEmbedder())[1].select("cache_key")
 
 
@@ -299,5 +304,5 @@ def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         def generate(self, prompt: str) -> str:
             return prompt
 
-    pairs = evidence.with_evidence(evidence.with_units(similarity.find_similar(vectors(spark, sf_dir), THRESHOLD, TOP), own := written(units(spark, sf_dir))), callgraph.concept_docs(own))
+    pairs = evidence.with_evidence(evidence.with_units(similarity.find_similar(vectors(spark, sf_dir), THRESHOLD, TOP), own := _units(spark, sf_dir)), callgraph.concept_docs(own))
     return explain.explain(pairs, Whole(), template).select("rank", "explanation", "warning")

@@ -3,8 +3,9 @@
 A page becomes a DOM tree, in which neighbouring siblings of one tag are one
 repeated node. The trees of a host's pages are aligned by simple tree matching
 (the largest order-preserving match of nodes of equal tags) and folded into one
-template tree; each template node is a slot. What stands in a slot on many pages
+template tree; each template node is a slot. What stands in a slot on most pages
 alike, or in a slot whose values mostly recur, is template; what varies is content.
+Copies of a page under several addresses are one page in that.
 
 Every task folds what it reads into distinct page structures, so only those move;
 a host's structures are folded in two rounds, and no task holds a large host's
@@ -30,8 +31,8 @@ from .common import pick, written
 CHUNK, BROADCAST, PARTS = 256, 32_000_000, 64
 #: Elements deeper than this don't hold others: what follows them is beside them.
 DEPTH = 100
-#: A value is template if this share of a host's pages, REPEATS of them at least, have it in the slot; a slot is if MOSTLY of its values recur.
-SHARE, REPEATS, MOSTLY = 0.01, 2, 0.5
+#: A value is template if this share of a host's distinct contents, REPEATS of them at least, stand with it in the slot; a slot is if MOSTLY of its values recur.
+SHARE, REPEATS, MOSTLY = 0.5, 2, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +42,8 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer for
 _WALL = frozenset("html body article section div main aside nav header footer table ul ol dl td th blockquote form".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time u var".split())
 _HIDDEN = frozenset("head title".split())
+#: What tells pages apart stands in the first of these or else outside the second.
+_MAIN, _BESIDE = frozenset("article main".split()), frozenset("nav header footer aside form".split())
 
 Tree = tuple  # (tag, (children...))
 
@@ -233,6 +236,16 @@ def values(page: Page, where: list[str]) -> list[tuple[str, int, str]]:
     return out
 
 
+def gist(page: Page, found: list[tuple[str, int, str]]) -> int:
+    """A hash of a page's own texts; copies under several addresses share it, whatever stands in the frame around them."""
+    main, beside = [False] * len(page.tags), [False] * len(page.tags)
+    for i, (tag, p) in enumerate(zip(page.tags, page.parents)):  # parents come before their children
+        main[i] = tag in _MAIN or p >= 0 and main[p]
+        beside[i] = tag in _BESIDE or p >= 0 and beside[p]
+    own = [t for _, n, t in found if main[n]] or [t for _, n, t in found if not beside[n]] or [t for _, _, t in found]
+    return _hash("\n".join(own))
+
+
 def _block(page: Page, node: int) -> int:
     while page.tags[node] in _INLINE and page.parents[node] > 0:
         node = page.parents[node]
@@ -314,12 +327,15 @@ class Wrapper:
 
 
 def _counted(wrapper, hosts: list[str], pages: list[str | None]) -> dict[str, pa.Array]:
-    counts: dict[tuple[str, str, int], int] = {}
+    """Which values stand with which contents; slot "" has a host's contents themselves."""
+    seen: dict[tuple[str, str, int, int], None] = {}
     for host, h in zip(hosts, pages):
         page = Page(h or "")
-        for key in {(host, s, _hash(t)) for s, _, t in wrapper(host).values(page)}:
-            counts[key] = counts.get(key, 0) + 1
-    return {"host": pa.array([k[0] for k in counts], pa.string()), "slot": pa.array([k[1] for k in counts], pa.string()), "value": pa.array([k[2] for k in counts], pa.int64()), "n": pa.array(list(counts.values()), pa.int64())}
+        if found := wrapper(host).values(page):
+            own = gist(page, found)
+            seen |= dict.fromkeys([(host, "", 0, own), *((host, s, _hash(t), own) for s, _, t in found)])
+    kinds = {"host": pa.string(), "slot": pa.string(), "value": pa.int64(), "gist": pa.int64()}
+    return {c: pa.array([k[i] for k in seen], kind) for i, (c, kind) in enumerate(kinds.items())}
 
 
 def _extracted(wrapper, ids: pa.Array, hosts: list[str], pages: list[str | None]) -> dict[str, pa.Array]:
@@ -331,7 +347,7 @@ def _extracted(wrapper, ids: pa.Array, hosts: list[str], pages: list[str | None]
     return {"page_id": ids, "host": pa.array(hosts, pa.string()), "text": pa.array(texts, pa.string()), "content_parts": pa.array(content_parts, pa.int64()), "template_parts": pa.array(template_parts, pa.int64())}
 
 
-_COUNTS = "host string, slot string, value long, n long"
+_COUNTS = "host string, slot string, value long, gist long"
 
 
 def _mapped(rows: DataFrame, wrappers: DataFrame, counting: bool, schema: str) -> DataFrame:
@@ -389,8 +405,8 @@ def extract(pages: DataFrame, share: float = SHARE, repeats: int = REPEATS, most
     ``text`` is the page's content, a line for each block; the parts count texts that
     are content and template. Script, style, comments and the head are neither. On a host of one
     page nothing recurs, so all its text is content. A null page gives null, an empty one an
-    empty text. Pages whose URL has no host are those of a host "". Repeated rows count as pages
-    of their own: what only they share then recurs. The result doesn't depend on ``chunk`` and ``broadcast``.
+    empty text. Pages whose URL has no host are those of a host "". Pages of one content, such as repeated
+    rows, count once: what only they share doesn't recur. The result doesn't depend on ``chunk`` and ``broadcast``.
     """
     rows = pick(pages, "page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
@@ -403,9 +419,10 @@ def extract(pages: DataFrame, share: float = SHARE, repeats: int = REPEATS, most
         return _mapped(rows, wrappers, counting, schema) if size <= broadcast else _met(rows, wrappers, counting, schema, chunk)
 
     none = [F.lit(None).cast("array<string>").alias("fixed"), F.lit(None).cast("array<struct<slot: string, value: long>>").alias("constant")]
-    counts = met(found.select("*", *none), True, _COUNTS).groupBy("host", "slot", "value").agg(F.sum("n").alias("n"))
-    counts = counts.join(found.select("host", "pages"), "host")
-    often = F.col("n") >= F.greatest(F.lit(float(repeats)), F.col("pages") * share)
+    counts = written(met(found.select("*", *none), True, _COUNTS).distinct().groupBy("host", "slot", "value").agg(F.count("*").alias("n")))
+    contents = counts.filter("slot = ''").select("host", F.col("n").alias("contents"))
+    counts = counts.filter("slot != ''").join(contents, "host")
+    often = F.col("n") >= F.greatest(F.lit(float(repeats)), F.col("contents") * share)
     slot = counts.groupBy("host", "slot").agg(
         (F.sum(F.when(F.col("n") >= repeats, F.col("n")).otherwise(0)) >= mostly * F.sum("n")).alias("is_fixed"),
         F.array_sort(F.collect_list(F.when(often, F.col("value")))).alias("often"),

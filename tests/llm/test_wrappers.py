@@ -74,6 +74,18 @@ def test_content_is_what_varies(spark):
         assert got[99]["text"] == "Home News\nTitle 0\nParagraph 0.0 with bold 0 & more 00\n© us" and got[99]["template_parts"] == 0
 
 
+def test_copies_and_shared_passages_stay(spark):
+    """Copies differ in the frame around the article; two pages of 20 share a passage, all have one notice."""
+    def page(i, paragraphs):
+        return html(["Home", f"Link {i}"], f"Title {paragraphs[0]}", [*paragraphs, "All rights reserved"], f"Made in {i} s")
+
+    texts = [[f"Own {i}", *(["Passage of two pages"] if i in (3, 4) else []), f"End {i}"] for i in range(20)]
+    rows = [(i, page(i, t), t) for i, t in enumerate(texts)] + [(100 + i, page(100 + i, texts[7]), texts[7]) for i in range(60)]
+    for options in ({}, {"broadcast": 0, "chunk": 9}):
+        got = {r["page_id"]: r["text"].split("\n") for r in w.extract(frame(spark, [(i, f"http://a.com/{i}?ref=x", h) for i, h, _ in rows]).repartition(3), **options).collect()}
+        assert all(got[i][-1 - len(t):-1] == t and "Home" not in got[i] and "All rights reserved" not in got[i] for i, _, t in rows)
+
+
 def test_both_plans_agree_on_pages(spark):
     df = spark.read.parquet(f"{DATA}/pages.parquet")
     a, b = (sorted(map(str, w.extract(df, **o).collect())) for o in ({}, {"broadcast": 0, "chunk": 3}))

@@ -4,7 +4,7 @@ A page becomes a DOM tree, in which neighbouring siblings of one tag are one
 repeated node. The trees of a host's pages are aligned by simple tree matching
 (the largest order-preserving match of nodes of equal tags) and folded into one
 template tree; each template node is a slot. What stands in a slot on most pages
-alike, or in a slot whose values mostly recur, is template; what varies is content.
+alike is template; what varies is content, whatever recurs beside it in the slot.
 Copies of a page under several addresses are one page in that.
 
 Every task folds what it reads into distinct page structures, so only those move;
@@ -31,8 +31,8 @@ from .common import pick, written
 CHUNK, BROADCAST, PARTS = 256, 32_000_000, 64
 #: Elements deeper than this don't hold others: what follows them is beside them.
 DEPTH = 100
-#: A value is template if this share of a host's distinct contents, REPEATS of them at least, stand with it in the slot; a slot is if MOSTLY of its values recur.
-SHARE, REPEATS, MOSTLY = 0.5, 2, 0.5
+#: A value is template if this share of a host's distinct contents, REPEATS of them at least, stand with it in the slot.
+SHARE, REPEATS = 0.5, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -305,10 +305,10 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 class Wrapper:
-    """A host's template, its fixed slots and the values of others that are template."""
+    """A host's template and the values of slots that are template."""
 
-    def __init__(self, tree: str, fixed=(), constant=()):
-        self.template, self.fixed, self.constant, self.known = read(tree), frozenset(fixed or ()), frozenset((x["slot"], x["value"]) for x in constant or ()), {}
+    def __init__(self, tree: str, constant=()):
+        self.template, self.constant, self.known = read(tree), frozenset((x["slot"], x["value"]) for x in constant or ()), {}
 
     def values(self, page: Page) -> list[tuple[str, int, str]]:
         """The page's texts by slot; pages of one structure are aligned once."""
@@ -322,7 +322,7 @@ class Wrapper:
     def split(self, page: Page) -> tuple[list[tuple[int, str]], int]:
         """The content, and how many texts are template."""
         found = self.values(page)
-        kept = [(n, t) for s, n, t in found if s not in self.fixed and (s, _hash(t)) not in self.constant]
+        kept = [(n, t) for s, n, t in found if (s, _hash(t)) not in self.constant]
         return kept, len(found) - len(kept)
 
 
@@ -360,7 +360,7 @@ def _mapped(rows: DataFrame, wrappers: DataFrame, counting: bool, schema: str) -
         def wrapper(host: str) -> Wrapper:
             if host not in known:
                 r = shared.value[host]
-                known[host] = Wrapper(r["tree"], r["fixed"], r["constant"])
+                known[host] = Wrapper(r["tree"], r["constant"])
             return known[host]
 
         for batch in batches:
@@ -375,10 +375,10 @@ def _met(rows: DataFrame, wrappers: DataFrame, counting: bool, schema: str, chun
     chunks = F.ceil(F.col("pages") / chunk)
     sizes = wrappers.select("host", chunks.alias("chunks"))
     dealt = rows.join(sizes, "host").select("page_id", "host", "html", F.pmod(F.xxhash64("page_id", "html"), F.col("chunks")).alias("chunk"))
-    each = wrappers.select("host", "tree", "fixed", "constant", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+    each = wrappers.select("host", "tree", "constant", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
 
     def run(key: tuple[pa.Scalar, ...], pages: pa.Table, found: pa.Table) -> pa.Table:
-        own = Wrapper(*(found.column(c)[0].as_py() for c in ("tree", "fixed", "constant"))) if found.num_rows and pages.num_rows else None
+        own = Wrapper(*(found.column(c)[0].as_py() for c in ("tree", "constant"))) if found.num_rows and pages.num_rows else None
         hosts, html = pages.column("host").to_pylist(), pages.column("html").to_pylist()
         return pa.table(_counted(lambda _: own, hosts, html) if counting else _extracted(lambda _: own, pages.column("page_id"), hosts, html))
 
@@ -399,7 +399,7 @@ def templates(rows: DataFrame) -> DataFrame:
     return parts.groupBy("host", "part").applyInArrow(_merge, schema).groupBy("host").applyInArrow(_merge, schema)
 
 
-def extract(pages: DataFrame, share: float = SHARE, repeats: int = REPEATS, mostly: float = MOSTLY, chunk: int = CHUNK, broadcast: int = BROADCAST) -> DataFrame:
+def extract(pages: DataFrame, share: float = SHARE, repeats: int = REPEATS, chunk: int = CHUNK, broadcast: int = BROADCAST) -> DataFrame:
     """``pages`` -> ``(page_id, host, text, content_parts, template_parts)`` for each row.
 
     ``text`` is the page's content, a line for each block; the parts count texts that
@@ -414,22 +414,14 @@ def extract(pages: DataFrame, share: float = SHARE, repeats: int = REPEATS, most
     found = written(templates(rows))
 
     def met(wrappers: DataFrame, counting: bool, schema: str) -> DataFrame:
-        parts = F.coalesce(F.size("fixed"), F.lit(0)) + F.coalesce(F.size("constant"), F.lit(0))
-        size = wrappers.agg(F.sum(200 + F.length("tree") + 100 * F.greatest(parts, F.lit(0)))).first()[0] or 0
+        size = wrappers.agg(F.sum(200 + F.length("tree") + 100 * F.greatest(F.coalesce(F.size("constant"), F.lit(0)), F.lit(0)))).first()[0] or 0
         return _mapped(rows, wrappers, counting, schema) if size <= broadcast else _met(rows, wrappers, counting, schema, chunk)
 
-    none = [F.lit(None).cast("array<string>").alias("fixed"), F.lit(None).cast("array<struct<slot: string, value: long>>").alias("constant")]
-    counts = written(met(found.select("*", *none), True, _COUNTS).distinct().groupBy("host", "slot", "value").agg(F.count("*").alias("n")))
+    none = F.lit(None).cast("array<struct<slot: string, value: long>>").alias("constant")
+    counts = met(found.select("*", none), True, _COUNTS).distinct().groupBy("host", "slot", "value").agg(F.count("*").alias("n"))
+    counts = written(counts.filter((F.col("slot") == "") | (F.col("n") >= repeats)))
     contents = counts.filter("slot = ''").select("host", F.col("n").alias("contents"))
-    counts = counts.filter("slot != ''").join(contents, "host")
-    often = F.col("n") >= F.greatest(F.lit(float(repeats)), F.col("contents") * share)
-    slot = counts.groupBy("host", "slot").agg(
-        (F.sum(F.when(F.col("n") >= repeats, F.col("n")).otherwise(0)) >= mostly * F.sum("n")).alias("is_fixed"),
-        F.array_sort(F.collect_list(F.when(often, F.col("value")))).alias("often"),
-    )
-    wrapper = slot.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_fixed"), F.col("slot")))).alias("fixed"),
-        F.flatten(F.collect_list(F.when(~F.col("is_fixed"), F.transform("often", lambda v: F.struct(F.col("slot").alias("slot"), v.alias("value")))))).alias("constant"),
-    )
-    wrappers = written(found.join(wrapper, "host", "left").select("host", "tree", "pages", "fixed", "constant"))
+    often = counts.filter("slot != ''").join(contents, "host").filter(F.col("n") >= F.greatest(F.lit(float(repeats)), F.col("contents") * share))
+    wrapper = often.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("constant"))
+    wrappers = written(found.join(wrapper, "host", "left").select("host", "tree", "pages", "constant"))
     return met(wrappers, False, f"page_id {kind}, host string, text string, content_parts long, template_parts long")

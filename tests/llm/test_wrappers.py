@@ -86,6 +86,13 @@ def test_copies_and_shared_passages_stay(spark):
         assert all(got[i][-1 - len(t):-1] == t and "Home" not in got[i] and "All rights reserved" not in got[i] for i, _, t in rows)
 
 
+def test_values_beside_recurring_ones_stay(spark):
+    """Each page has a paragraph of its own, one beside it that all have and one that a third has."""
+    pages = [html(["Home"], f"Title {i}", [f"Own {i}", "Sign up now", f"Series {i % 3}"], "© us") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in w.extract(frame(spark, [(i, f"http://a.com/{i}", h) for i, h in enumerate(pages)])).collect()}
+    assert got == {i: f"Title {i}\nOwn {i}\nSeries {i % 3}" for i in range(12)}
+
+
 def test_both_plans_agree_on_pages(spark):
     df = spark.read.parquet(f"{DATA}/pages.parquet")
     a, b = (sorted(map(str, w.extract(df, **o).collect())) for o in ({}, {"broadcast": 0, "chunk": 3}))

@@ -24,6 +24,9 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NONE = "(none)"
 #: Hashes are halved to lie in [0, 2**63), where signed and unsigned order are the same.
 SPACE = float(1 << 63)
+_PAD = np.int64((1 << 63) - 1)
+#: Sketches of so many sets are broadcast to their pairs.
+BROADCAST = 50_000
 
 
 def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -137,26 +140,96 @@ def overlapping(parts: DataFrame, k: int = K) -> DataFrame:
     return compare(pairs.join(left, "name").join(right, "other"), k).select("name", "other", "resemblance", "a_in_b", "b_in_a")
 
 
+def estimates(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """What ``compared`` gives, a row for each row of ``a`` and ``b``: not empty sketches, filled up to k with _PAD."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)  # a hash stands in a sketch once
+    place = np.cumsum(~again, axis=1, dtype=np.int16)
+    shared = (again & (place <= k)).sum(axis=1)
+    n = np.minimum(k, ((both != _PAD) & ~again).sum(axis=1))
+    last = both[np.arange(len(both)), (place < k).sum(axis=1)]
+
+    def count(size: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        return np.where(size < k, size, (k - 1) * SPACE / (kth.astype(np.float64) + 1))
+
+    r = shared / n
+    of = r * count(n, last)
+    return np.stack([r, *(np.minimum(1.0, of / count((x != _PAD).sum(axis=1), x[:, -1])) for x in (a, b))], axis=1)
+
+
+def _padded(column: pa.Array, k: int) -> np.ndarray:
+    ends = column.offsets.to_numpy()
+    out = np.full((len(column), k), _PAD)
+    out[np.arange(k) < np.diff(ends)[:, None]] = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    return out
+
+
+def _estimated(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                e = estimates(_padded(batch.column(2), k), _padded(batch.column(3), k), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(x)) for x in e.T)], names=["name", "other", "resemblance", "a_in_b", "b_in_a"])
+
+    return run
+
+
+def document_pairs(each: DataFrame, k: int = K) -> DataFrame:
+    """``each(doc_id, sketch)`` -> ``(doc_id, other_id, resemblance, a_in_b, b_in_a)`` for each two rows whose sketches share a hash.
+
+    Equal sketches are one set, compared once and then given to all its rows; two rows of one set
+    are copies, with estimates of 1. ``doc_id`` is the lesser id, nulls last. No pair is left out,
+    so the rows grow with the square of how many documents share a passage.
+    """
+    # a struct, as lists leave out nulls; ids are given once, so the sets are written before they are read again
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    sets = each.filter(F.size("sketch") > 0).groupBy("sketch").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    sets = written(sets.withColumn("name", F.monotonically_increasing_id()))
+    a, b = sets.select("name", F.explode("rows").alias("x")), sets.select(F.col("name").alias("other"), F.explode("rows").alias("y"))
+    hashes = sets.select("name", F.explode("sketch").alias("h"))
+    pairs = hashes.join(hashes.withColumnRenamed("name", "other"), "h").filter("name < other").select("name", "other").distinct()
+    move = F.broadcast if sets.count() <= BROADCAST else lambda df: df
+    pairs = pairs.join(move(sets.select("name", F.col("sketch").alias("sketch_a"))), "name").join(move(sets.select(F.col("name").alias("other"), F.col("sketch").alias("sketch_b"))), "other")
+    near = pairs.select("name", "other", "sketch_a", "sketch_b").mapInArrow(_estimated(k), "name long, other long, resemblance double, a_in_b double, b_in_a double")
+    near = near.select("name", "other", *[F.round(c, 6).alias(c) for c in ("resemblance", "a_in_b", "b_in_a")]).join(a, "name").join(b, "other")
+    turned = F.col("x") > F.col("y")
+    near = near.select(
+        F.when(turned, F.col("y.doc_id")).otherwise(F.col("x.doc_id")).alias("doc_id"), F.when(turned, F.col("x.doc_id")).otherwise(F.col("y.doc_id")).alias("other_id"), "resemblance",
+        F.when(turned, F.col("b_in_a")).otherwise(F.col("a_in_b")).alias("a_in_b"), F.when(turned, F.col("a_in_b")).otherwise(F.col("b_in_a")).alias("b_in_a"),
+    )
+    copies = sets.filter(F.size("rows") > 1).select("rows", F.posexplode("rows").alias("i", "x"))
+    copies = copies.select("x", F.explode(F.expr("slice(rows, i + 2, size(rows))")).alias("y"))
+    one = [F.lit(1.0).alias(c) for c in ("resemblance", "a_in_b", "b_in_a")]
+    return near.unionByName(copies.select(F.col("x.doc_id").alias("doc_id"), F.col("y.doc_id").alias("other_id"), *one))
+
+
 def fingerprint(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
-    """``documents`` -> ``(level, doc_id, name, other, n_shingles, resemblance, a_in_b, b_in_a, sketch)``.
+    """``documents`` -> ``(level, doc_id, other_id, name, other, n_shingles, resemblance, a_in_b, b_in_a, sketch)``.
 
     Level "document": a row for each row, with its sketch and about how many
     distinct shingles it has. Level "source": the sketches of a source's documents
     merged, a row for each source (null is "(none)"). Level "pair": for each two
     sources whose sketches meet, the resemblance of ``name`` and ``other``, and
-    how far each is contained in the other. Null, empty and wordless texts have empty
+    how far each is contained in the other. Level "documents": the same for ``doc_id`` and
+    ``other_id``, for each two documents whose sketches meet, all of them. Null, empty and wordless texts have empty
     sketches and count 0; repeated rows repeat; an empty table gives no rows.
     """
     each = written(sketches(docs, k, n))
+    pairs = document_pairs(each, k)
     sources = written(merged(each.select(F.col("source").alias("name"), "sketch"), k))
     none = {"double": F.lit(None).cast("double"), "string": F.lit(None).cast("string")}
     kind = each.schema["doc_id"].dataType
     rest = [none["double"].alias(c) for c in ("resemblance", "a_in_b", "b_in_a")]
     count = F.round(distinct_count("sketch", k), 3).alias("n_shingles")
-    a = each.select(F.lit("document").alias("level"), "doc_id", F.coalesce("source", F.lit(_NONE)).alias("name"), none["string"].alias("other"), count, *rest, "sketch")
-    b = sources.select(F.lit("source").alias("level"), F.lit(None).cast(kind).alias("doc_id"), "name", none["string"].alias("other"), count, *rest, "sketch")
+    a = each.select(F.lit("document").alias("level"), "doc_id", F.lit(None).cast(kind).alias("other_id"), F.coalesce("source", F.lit(_NONE)).alias("name"), none["string"].alias("other"), count, *rest, "sketch")
+    b = sources.select(F.lit("source").alias("level"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast(kind).alias("other_id"), "name", none["string"].alias("other"), count, *rest, "sketch")
     c = overlapping(sources, k).select(
-        F.lit("pair").alias("level"), F.lit(None).cast(kind).alias("doc_id"), "name", "other", none["double"].alias("n_shingles"),
+        F.lit("pair").alias("level"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast(kind).alias("other_id"), "name", "other", none["double"].alias("n_shingles"),
+        "resemblance", "a_in_b", "b_in_a", F.lit(None).cast("array<long>").alias("sketch"),
+    )
+    d = pairs.select(
+        F.lit("documents").alias("level"), "doc_id", "other_id", none["string"].alias("name"), none["string"].alias("other"), none["double"].alias("n_shingles"),
         "resemblance", "a_in_b", "b_in_a", F.lit(None).cast("array<long>").alias("sketch"),
     )
-    return a.unionByName(b).unionByName(c)
+    return a.unionByName(b).unionByName(c).unionByName(d)

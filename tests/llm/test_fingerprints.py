@@ -1,6 +1,7 @@
 """Sketches against the sets they stand for."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import DATA, DOCUMENTS, documents
 
@@ -57,6 +58,37 @@ def test_least_with_many_ties():
     assert fp.least(x, 128).tolist() == list(range(128))
 
 
+def test_pairs_of_documents(spark):
+    """Copies, a contained document and repeated or null ids; all pairs against the sets themselves."""
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words[:60]), " ".join(words[:60]), " ".join(words[10:40]), " ".join(words[30:90]), "nothing of the others is in here", None, " ".join(words[:60])]
+    ids = [5, 3, 4, 9, 7, 8, None]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts)]
+    sets = [all_shingles(t or "") for t in texts]
+    want = []
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            if both := len(sets[i] & sets[j]):
+                want.append((ids[i], ids[j], *(round(both / n, 6) for n in (len(sets[i] | sets[j]), len(sets[i]), len(sets[j])))))
+    got = [tuple(r[c] for c in ("doc_id", "other_id", "resemblance", "a_in_b", "b_in_a")) for r in fp.fingerprint(documents(spark, rows)).filter("level = 'documents'").collect()]
+    assert len(want) == 10 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_estimates_are_those_of_compare(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(np.concatenate([x := rng.integers(0, 1 << 63, s), rng.integers(0, 1 << 63, p)]), np.concatenate([x, rng.integers(0, 1 << 63, q)])) for s, p, q in [(1, 0, 0), (60, 60, 20), (100, 28, 28), (128, 0, 0), (500, 3000, 1), (9, 5000, 0), (90, 0, 90)]]
+    low = [[fp.least(v, fp.K) for v in p] for p in pairs]
+    want = fp.compare(spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in low], "sketch_a array<long>, sketch_b array<long>")).collect()
+    a, b = (fp._padded(pa.array([p[i].tolist() for p in low], pa.list_(pa.int64())), fp.K) for i in (0, 1))
+    assert np.abs(fp.estimates(a, b, fp.K) - [[r["resemblance"], r["a_in_b"], r["b_in_a"]] for r in want]).max() <= 1e-6
+
+
+def test_no_cap_on_a_common_passage(spark):
+    rows = [(i, "one passage that is in every text " + f"{i} " * 6, "en", "s", 50) for i in range(300)]
+    assert fp.fingerprint(documents(spark, rows)).filter("level = 'documents' and resemblance > 0").count() == 300 * 299 // 2
+
+
 def test_hostile_table(spark):
     rows = fp.fingerprint(documents(spark)).collect()
     docs = [r for r in rows if r["level"] == "document"]

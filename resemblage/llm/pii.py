@@ -31,6 +31,9 @@ SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "api-k
 NUMBER_CUES = {"phone": "phone", "tel": "phone", "mobile": "phone", "fax": "phone", "card": "card", "account": "account", "acct": "account", "ssn": "ssn"}
 KINDS = ("email", "url", "ip", "card", "iban", "account", "ssn", "phone", "secret")
 
+#: Groups of digits of a card.
+_CARD = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)})
+
 Span = tuple[int, int, str]
 
 
@@ -146,6 +149,8 @@ def _phone(s: str, cued: bool) -> bool:
     digits = [g for g in "".join(c if c in _DIGIT else " " for c in s).split()]
     n = sum(map(len, digits))
     if s[0] == "+":
+        if digits[0] == "1":
+            return n == 11
         return 8 <= n <= 15 and len(digits[0]) <= 15
     sizes = tuple(map(len, digits))
     if sizes in ((3, 3, 4), (1, 3, 3, 4)) and (sizes[0] == 3 or digits[0] == "1"):
@@ -153,11 +158,94 @@ def _phone(s: str, cued: bool) -> bool:
     return sizes == (3, 4) and "-" in s or cued and 7 <= n <= 15
 
 
+def _before(t: str, a: int) -> bool:
+    """Whether a number that begins at ``a`` belongs to what is before it."""
+    return _word_before(t, a) or a > 0 and t[a - 1] in "@."
+
+
+def _after(t: str, b: int) -> bool:
+    return _word_after(t, b) or b + 1 < len(t) and t[b] in "@"
+
+
 def parse_number(t: str, at: int) -> Span | None:
-    """Around digits: a card, an account that a cue announces, a social security or a phone number."""
+    """Around digits: a card, an account that a cue announces, a social security or a phone number.
+
+    What single spaces join is looked at as a whole first, then without the groups at its
+    ends that belong to other words, then in parts.
+    """
     a, b = _number(t, at)
-    if _word_before(t, a) or _word_after(t, b) or b + 1 < len(t) and t[b] in "@" or a > 0 and t[a - 1] in "@.":
-        return _account(t, at)
+    before, after = _before(t, a), _after(t, b)
+    found = _account(t, at) if before or after else _whole(t, a, b)
+    if found:
+        return found
+    pieces = _pieces(t, a, b, at)
+    if before and pieces and pieces[0][0] == a:
+        pieces = pieces[1:]
+    if after and pieces and pieces[-1][1] == b:
+        pieces = pieces[:-1]
+    if (before or after) and pieces and pieces[0][0] <= at < pieces[-1][1] and (found := _whole(t, pieces[0][0], pieces[-1][1])):
+        return found
+    if found := _part(t, pieces, at):
+        return found
+    if before or after:
+        return None
+    # the numbers that spaces join may each be something of their own
+    x, y = _grow(t, at, at, _DIGIT, _DIGIT)
+    if (x, y) != (a, b) and 13 <= y - x <= 19 and luhn(t[x:y]) and len(set(t[x:y])) > 1:
+        return x, y, "card"
+    return _local_phone(t, x, y)
+
+
+def _pieces(t: str, a: int, b: int, at: int) -> list[tuple[int, int]]:
+    """The bounds of what spaces divide in a run, each from a digit, bracket or plus to a digit; those near ``at``, more than a number can have."""
+    x = y = at
+    for _ in range(20):
+        x, y = max(a, t.rfind(" ", a, max(a, x - 1)) + 1), (e if (e := t.find(" ", min(b, y + 1), b)) >= 0 else b)
+    out, i = [], x
+    for piece in t[x:y].split(" "):
+        parts = piece.split(".") if "." in piece and ("-" in piece or ")" in piece) else [piece]  # a number that a full stop joins
+        for part in parts:
+            head, tail = len(part) - len(part.lstrip(" -.)")), len(part.rstrip(" -.()"))
+            if head < tail:
+                out.append((i + head, i + tail))
+            i += len(part) + 1
+    return out
+
+
+def _part(t: str, pieces: list[tuple[int, int]], at: int) -> Span | None:
+    """The longest card, account, social security or phone number among neighbours that have ``at`` in them, by stricter forms than a whole run's."""
+    own = next((i for i, (x, y) in enumerate(pieces) if x <= at < y), None)
+    if own is None:
+        return None
+    address = [parse_ip(t, x) is not None for x, _ in pieces]
+    spans = []
+    for i in range(own, -1, -1):
+        if address[i]:
+            break
+        for j in range(own, len(pieces)):
+            if address[j]:
+                break
+            spans.append((pieces[i][0], pieces[j][1]))
+    for x, y in sorted(spans, key=lambda v: (v[0] - v[1], v[0])):
+        s = t[x:y]
+        groups = "".join(c if c in _DIGIT else " " for c in s).split()
+        sizes, digits, cue = tuple(map(len, groups)), "".join(groups), _cue(t, x)
+        if not 7 <= len(digits) <= 19 or _before(t, x) and t[x - 1] != "." or _after(t, y):
+            continue
+        plain = not any(c in s for c in "(.+")
+        if plain and 13 <= len(digits) and (len(sizes) == 1 or sizes in _CARD) and luhn(digits) and len(set(digits)) > 1:
+            return x, y, "card"
+        if cue in ("card", "account") and 8 <= len(digits):
+            return x, y, "account"
+        if sizes == (3, 2, 4) and s.count("-") == 2 and groups[0] not in ("000", "666") and groups[1] != "00" or cue == "ssn" and len(digits) == 9:
+            return x, y, "ssn"
+        if (cue == "phone" or any(c in s for c in "+-(.")) and _phone(s, cue == "phone"):
+            return x, y, "phone"
+    return None
+
+
+def _whole(t: str, a: int, b: int) -> Span | None:
+    """What a run of digits is as a whole."""
     s = t[a:b]
     digits = "".join(c for c in s if c in _DIGIT)
     cue = _cue(t, a)
@@ -168,13 +256,7 @@ def parse_number(t: str, at: int) -> Span | None:
     groups = s.split("-")
     if tuple(map(len, groups)) == (3, 2, 4) and s.replace("-", "").isdigit() and groups[0] not in ("000", "666") and groups[1] != "00" or cue == "ssn" and len(digits) == 9:
         return a, b, "ssn"
-    if _phone(s, cue == "phone"):
-        return a, b, "phone"
-    # the numbers that spaces join may each be something of their own
-    x, y = _grow(t, at, at, _DIGIT, _DIGIT)
-    if (x, y) != (a, b) and 13 <= y - x <= 19 and luhn(t[x:y]) and len(set(t[x:y])) > 1:
-        return x, y, "card"
-    return _local_phone(t, x, y)
+    return (a, b, "phone") if _phone(s, cue == "phone") else None
 
 
 def _local_phone(t: str, x: int, y: int) -> Span | None:

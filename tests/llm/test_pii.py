@@ -24,6 +24,18 @@ def test_left_alone(text):
     assert pii.redact(text) == (text, [])
 
 
+JOINED = [
+    ("Des +1 (826) 555-4081 190.137.223.204 du", "Des [PHONE] [IP] du"), ("190.137.223.204 +1 (826) 555-4081 du", "[IP] [PHONE] du"), ("call 555-123-4567 2nd time", "call [PHONE] 2nd time"), ("4111111111111111 3rd", "[CARD] 3rd"),
+    ("line1 555-123-4567", "line1 [PHONE]"), ("pay 4111 1111 1111 1111 12/27 now", "pay [CARD] 12/27 now"), ("in 12 4111 1111 1111 1111 12", "in 12 [CARD] 12"), ("call 555-123-4567.24 came", "call [PHONE].24 came"),
+    ("+1 (826) 555-4081 42 men", "[PHONE] 42 men"), ("id 123-45-6789 77 8", "id [SSN] 77 8"), ("1 2 3 (555) 123-4567 4 5 6", "1 2 3 [PHONE] 4 5 6"), ("row 100 200 3000 4000 50", "row 100 200 3000 4000 50"), ("3.14159265358979 2nd", "3.14159265358979 2nd"),
+]
+
+
+@pytest.mark.parametrize("text, want", JOINED)
+def test_numbers_beside_numbers(text, want):
+    assert pii.redact(text)[0] == want
+
+
 def test_emails_equal_brute_force(spark):
     plain = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
     n = 0

@@ -212,10 +212,11 @@ def _build(dimension: int, links: int, beam: int):
         _, first, node = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * dimension))).ravel(), return_index=True, return_inverse=True)
         place = np.argsort(np.argsort(first))  # in the order of keys, which are hashes
         first, node = np.sort(first), place[node]
-        order = np.argsort(node, kind="stable")
+        vec = rows.column("vec_id").combine_chunks().cast(pa.int64())
+        order = np.lexsort((keys, vec.fill_null(0).to_numpy(), vec.is_null().to_numpy(zero_copy_only=False), node))  # a node offers its least ids, nulls last
         g = build(np.ascontiguousarray(x[first]), links, beam)
         starts = np.searchsorted(node[order], np.arange(len(first) + 1)).astype(np.int64)
-        ids = rows.column("vec_id").combine_chunks().take(pa.array(order)).cast(pa.int64())
+        ids = vec.take(pa.array(order))
         return pa.table({"shard": [key[0].as_py()], "graph": [g.pack()], "keys": [keys[order].tobytes()], "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "starts": [starts.tobytes()]})
 
     return run

@@ -64,3 +64,9 @@ def test_many_copies(spark):
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100 + i, [float(np.cos(i)), float(np.sin(i))]) for i in range(40)]
     got = {r["vec_id"]: r for r in ann.neighbours(frame(spark, rows), k=5).collect()}
     assert len(got) == 80 and all(got[i]["similarities"] == [1.0] * 5 and i not in got[i]["neighbour_ids"] for i in range(40))
+
+
+def test_copies_are_the_least_ids(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(None, [1.0, 0.0]), (50, [0.0, 1.0])]
+    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.neighbours(frame(spark, rows), k=5).collect()}
+    assert all(got[i] == [j for j in range(6) if j != i][:5] for i in range(40)) and got[None] == [0, 1, 2, 3, 4]

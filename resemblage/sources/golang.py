@@ -228,6 +228,7 @@ def _functions(source: str) -> list[Function]:
             i += 1
             continue
         if t.text == "func":
+            before = i - 1
             i, found = _function(source, ts, closers, i)
             line, doc, above = found.pop("line"), [], None
             k = ends.get(line - 1)
@@ -235,8 +236,10 @@ def _functions(source: str) -> list[Function]:
                 doc.insert(0, comments[k][2])
                 above = comments[k][0]
                 k -= 1
-            if doc and any(x.line == comments[ends[line - 1]][0] for x in ts[max(0, i - 4000) : i] if x.line < line and x.text != ";"):
-                doc = []  # it trails other code on its line
+            while doc and before >= 0 and ts[before].line >= comments[ends[line - 1]][0]:
+                if ts[before].line == comments[ends[line - 1]][0] and ts[before].text != ";":
+                    doc = []  # it trails other code on its line
+                before -= 1
             shift = next((d for at, d in reversed(moved) if at < line), 0)
             out.append(Function(package=package, start_line=line + shift, doc_comment=doc_text(doc), **found))
             imports = False

@@ -96,6 +96,12 @@ def test_trailing_comments_are_no_documentation():
     assert functions("package p\nvar x = 1 // about x\nfunc f() {}\n")[0].doc_comment == ""
 
 
+def test_trailing_comments_above_long_functions():
+    body = "\tx = x + 1\n" * 2000
+    got = functions(f"package p\nvar x = 1 // note\nfunc F() {{\n{body}}}\n// G does.\nfunc G() {{\n{body}}}\n")
+    assert [f.doc_comment.strip() for f in got] == ["", "G does."]
+
+
 def test_unicode_names_and_literals():
     found = functions("package p\nfunc Ünï(r rune) bool { return r == '(' || r == '\\'' || is('\\u00e9', 0x1p-2, 1e+3, .5) }\n")[0]
     assert found.exported and found.callees == ["is"]

@@ -132,9 +132,8 @@ def compare(pairs: DataFrame, k: int = K) -> DataFrame:
 
 
 def overlapping(parts: DataFrame, k: int = K) -> DataFrame:
-    """``parts(name, sketch)`` of distinct names -> estimates for each pair whose sketches share a hash."""
-    hashes = parts.select("name", F.explode("sketch").alias("h"))
-    pairs = hashes.join(hashes.withColumnRenamed("name", "other"), "h").filter("name < other").select("name", "other").distinct()
+    """``parts(name, sketch)`` of distinct names -> estimates for each pair, 0 where the sketches share no hash."""
+    pairs = parts.select("name").crossJoin(parts.select(F.col("name").alias("other"))).filter("name < other")
     left = parts.select("name", F.col("sketch").alias("sketch_a"))
     right = parts.select(F.col("name").alias("other"), F.col("sketch").alias("sketch_b"))
     return compare(pairs.join(left, "name").join(right, "other"), k).select("name", "other", "resemblance", "a_in_b", "b_in_a")
@@ -210,7 +209,7 @@ def fingerprint(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
     Level "document": a row for each row, with its sketch and about how many
     distinct shingles it has. Level "source": the sketches of a source's documents
     merged, a row for each source (null is "(none)"). Level "pair": for each two
-    sources whose sketches meet, the resemblance of ``name`` and ``other``, and
+    sources, the resemblance of ``name`` and ``other``, and
     how far each is contained in the other. Level "documents": the same for ``doc_id`` and
     ``other_id``, for each two documents whose sketches meet, all of them. Null, empty and wordless texts have empty
     sketches and count 0; repeated rows repeat; an empty table gives no rows.

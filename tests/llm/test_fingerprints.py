@@ -84,6 +84,11 @@ def test_estimates_are_those_of_compare(spark):
     assert np.abs(fp.estimates(a, b, fp.K) - [[r["resemblance"], r["a_in_b"], r["b_in_a"]] for r in want]).max() <= 1e-6
 
 
+def test_all_pairs_of_sources(spark):
+    parts = spark.createDataFrame([("a", [1, 2]), ("b", [3]), ("c", [2, 3])], "name string, sketch array<long>")
+    assert {(r["name"], r["other"]): r["b_in_a"] for r in fp.overlapping(parts).collect()} == {("a", "b"): 0.0, ("a", "c"): 0.5, ("b", "c"): 0.5}
+
+
 def test_no_cap_on_a_common_passage(spark):
     rows = [(i, "one passage that is in every text " + f"{i} " * 6, "en", "s", 50) for i in range(300)]
     assert fp.fingerprint(documents(spark, rows)).filter("level = 'documents' and resemblance > 0").count() == 300 * 299 // 2

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from fixtures import DATA, DOCUMENTS, documents
@@ -46,6 +48,99 @@ def test_emails_equal_brute_force(spark):
     assert n
 
 
+FAR = [
+    ("password =          hunter22", "password =          [SECRET]"), ("ssn" + " " * 30 + "123456789", "ssn" + " " * 30 + "[SSN]"), ("token" + " " * 500 + ":" + " " * 500 + "abc123", "token" + " " * 500 + ":" + " " * 500 + "[SECRET]"),
+    ("card   number  :      12345678", "card   number  :      [ACCOUNT]"), ("version      1.2.3.4", "version      1.2.3.4"), ("x v 1.2.3.4", "x v 1.2.3.4"), ("12 " * 5000 + "555-123-4567", "12 " * 5000 + "[PHONE]"),
+    ("a@b.co" + "-" * 5000, "[EMAIL]" + "-" * 5000), ("9876543210123459 no issuer", "9876543210123459 no issuer"), ("id DE89370400440532013001", "id DE89370400440532013001"), ("(12) " * 3000, "(12) " * 3000),
+]
+
+
+@pytest.mark.parametrize("text, want", FAR)
+def test_no_distance_is_too_far(text, want):
+    assert pii.redact(text)[0] == want
+
+
+ENDLESS = ["12 34 ", "YWJj0ZGVm", "0123456789abcdef", "http://a.b/c,", "1.", "1.1.1.1 ", "a@b", "a@---", "AKIA", "password    ", 'token="', "1 2 3 ", "12-34-", "(12) ", "4444 ", "+1 (826) 555-4081 ", "DE89 3704 ", "ssn     12", "x11", "11 a", "http://u:p@h/", "c.d@"]
+
+
+@pytest.mark.parametrize("unit", ENDLESS)
+def test_time_is_linear(unit):
+    """Twice the text takes about twice the time, and 300,000 characters a few seconds at most."""
+    took = []
+    for n in (150_000, 300_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        pii.find(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 5 and took[1] < 3.2 * took[0] + 0.3
+
+
+ISSUER = re.compile(r"(?:4\d{12}|4\d{15}|4\d{18}|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|(?:6011|64[4-9]\d|65\d\d|60\d\d|62\d\d|81\d\d|82\d\d|50\d\d|5[678]\d\d|63\d\d|67\d\d|220[0-4]|35(?:2[89]|[3-8]\d)|30[0-5]\d|3[689]\d\d)\d{12})")
+SECRET = re.compile(r"(?i:" + "|".join(pii.SECRET_CUES) + r")[\"']?[ \t]*[=:][ \t=>]*[\"']?([A-Za-z0-9_+/.~-]{6,})")
+
+
+def plain(text):
+    """The kinds that the documents have, by regular expressions over the whole text."""
+    out = {(m.start(), m.end(), "ip") for m in re.finditer(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", text) if all(int(x) < 256 for x in m.group().split("."))}
+    for m in re.finditer(r"(?<![\w+-])\d{13,19}(?![\w-])", text):
+        doubled = [int(c) * (2 if (len(m.group()) - i) % 2 == 0 else 1) for i, c in enumerate(m.group())]
+        if ISSUER.fullmatch(m.group()) and sum(x // 10 + x % 10 for x in doubled) % 10 == 0:
+            out.add((m.start(), m.end(), "card"))
+    out |= {(m.start(), m.end(), "phone") for m in re.finditer(r"(?<!\w)\+1 \(\d{3}\) \d{3}-\d{4}(?!\w)", text)}
+    out |= {(m.start(1), m.end(1), "secret") for m in SECRET.finditer(text) if any(c.isdigit() for c in m.group(1))}
+    return out
+
+
+def test_other_kinds_equal_brute_force(spark):
+    n = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        got = {s for s in pii.find(r["text"]) if s[2] != "email"}
+        assert got == plain(r["text"])
+        for s in got:
+            n[s[2]] = n.get(s[2], 0) + 1
+    assert set(n) == {"ip", "card", "phone", "secret"}
+
+
+def made(r):
+    """A number of a known kind."""
+    d = lambda n: "".join(r.choices("0123456789", k=n))
+    kind = r.choice(["ssn", "iban", "account", "url", "card", "phone", None])
+    if kind == "ssn":
+        return kind, f"{r.randint(100, 665)}-{r.randint(10, 99)}-{d(4)}", ""
+    if kind == "iban":
+        code, bank = r.choice([("DE", d(18)), ("GB", "WEST" + d(14)), ("FR", d(23))])
+        number = "".join(str(int(c, 36)) for c in bank + code + "00")
+        flat = f"{code}{98 - int(number) % 97:02d}{bank}"
+        return kind, r.choice([flat, " ".join(flat[i : i + 4] for i in range(0, len(flat), 4))]), ""
+    if kind == "account":
+        return kind, d(r.randint(8, 12)), r.choice(["account number: ", "acct no ", "card "])
+    if kind == "url":
+        return kind, f"https://u{d(2)}:w{d(3)}@host.example/{d(2)}", ""
+    if kind == "card":
+        body = r.choice(["4", "51", "2221", "6011"])
+        body += d(15 - len(body))
+        check = next(c for c in "0123456789" if sum(x // 10 + x % 10 for x in (int(v) * (2 if i % 2 == 0 else 1) for i, v in enumerate(body + c))) % 10 == 0)
+        flat = body + check
+        return kind, r.choice([flat, " ".join(flat[i : i + 4] for i in range(0, 16, 4)), "-".join(flat[i : i + 4] for i in range(0, 16, 4))]), ""
+    if kind == "phone":
+        return kind, r.choice([f"({r.randint(200, 999)}) {r.randint(200, 999)}-{d(4)}", f"+49 30 {r.randint(100, 999)} {d(4)}", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{d(4)}"]), ""
+    return None, r.choice(["page 12", "1999", "3.14", "no. 7", "https://host.example/x", "DE12", "12/27", "20 30"]), ""
+
+
+def test_planted_numbers_are_found_and_nothing_else():
+    r = random.Random(8)
+    for _ in range(400):
+        text, want = "", []
+        for _ in range(r.randint(1, 12)):
+            text += r.choice(["the", "of it,", "and so", "ship"]) + " "
+            kind, number, cue = made(r)
+            text += cue
+            if kind:
+                want.append((len(text), len(text) + len(number), kind))
+            text += number + r.choice([" x ", ", y ", "; z "])
+        assert pii.find(text) == want, text
+
+
 def test_spans_do_not_overlap_and_rest_stays(spark):
     for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
         clean, spans = pii.redact(r["text"])

@@ -3,8 +3,11 @@
 Vectors are dealt to shards by hash. A shard's graph is a handful of flat
 arrays: for each layer the nodes that reach it, and a row of neighbours for each.
 Nodes are put in in blocks that double; all searches of a block walk the graph in
-lockstep, so that numpy does each step for all of them. Every vector is searched in
-every shard, and the shards' results are merged.
+lockstep, so that numpy does each step for all of them. Every vector is in the index. The
+queries (every ``EVERY``-th id) are searched in every shard, and the shards' results are merged.
+
+A task has one shard's graph at a time and the queries stream through it, so a graph
+moves once for each ``SEARCHES`` queries and no task holds more than a graph and a batch.
 """
 
 from __future__ import annotations
@@ -21,8 +24,12 @@ from .common import pick, written
 
 #: Neighbours wanted; links of a node (twice as many on the ground layer); beams while building and searching.
 K, LINKS, BUILD, BEAM = 10, 16, 100, 64
-#: Vectors of a shard, about, and of a block of searches that one task makes on one shard.
-SHARD, SEARCHES = 16_384, 8_192
+#: Rows whose ids this divides are the queries.
+EVERY = 20
+#: A shard has SHARD vectors at least, about, while there are fewer than SPREAD shards; beyond that as many as SHARD_BYTES hold.
+SHARD, SPREAD, SHARD_BYTES = 16_384, 32, 128_000_000
+#: Searches that one task makes on one shard, at most, about.
+SEARCHES = 1_000_000
 _LOCKSTEP, _STEPS = 256, 4
 
 
@@ -200,8 +207,10 @@ def _vectors(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def _distinct(table: pa.Table) -> pa.Table:
-    keys = table.column("key").to_numpy()
-    return table.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+    """One row for each id and key; rows of one vector and id share both."""
+    ids = table.column("vec_id").combine_chunks()
+    rows = np.stack([table.column("key").to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)], axis=1)
+    return table.take(pa.array(np.sort(np.unique(rows, axis=0, return_index=True)[1])))
 
 
 def _build(dimension: int, links: int, beam: int):
@@ -222,69 +231,90 @@ def _build(dimension: int, links: int, beam: int):
     return run
 
 
-def _search(dimension: int, k: int, beam: int):
-    def run(key: tuple[pa.Scalar, ...], shards: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = {"vec_id": pa.int64(), "key": pa.int64(), "near": pa.list_(pa.struct([("similarity", pa.float64()), ("vec_id", pa.int64()), ("key", pa.int64())]))}
-        if not shards.num_rows or not queries.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in empty.items()})
-        g = Graph.unpack(shards.column("graph")[0].as_py())
-        keys, starts = np.frombuffer(shards.column("keys")[0].as_py(), np.int64), np.frombuffer(shards.column("starts")[0].as_py(), np.int64)
-        ids = np.array([-1 if i is None else i for i in shards.column("ids")[0].as_py()], np.int64)
-        known = np.array([i is not None for i in shards.column("ids")[0].as_py()], bool)
-        rows = _distinct(queries)
-        own = rows.column("key").to_numpy()
-        found, sims = g.search(_vectors(rows.column("embedding"), dimension), k + 1, beam)
+_NEAR = pa.list_(pa.struct([("similarity", pa.float64()), ("vec_id", pa.int64()), ("key", pa.int64())]))
+
+
+class _Shard:
+    """A shard's graph, and the ids and keys of the vectors of each node."""
+
+    def __init__(self, graph: bytes, keys: bytes, ids: list, starts: bytes):
+        self.graph, self.keys, self.starts = Graph.unpack(graph), np.frombuffer(keys, np.int64), np.frombuffer(starts, np.int64)
+        self.ids, self.known = np.array([-1 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], bool)
+
+    def search(self, rows: pa.RecordBatch, dimension: int, k: int, beam: int) -> pa.RecordBatch:
+        keys, vec = (rows.column(rows.schema.get_field_index(c)) for c in ("key", "vec_id"))
+        keys, ids, known = keys.to_numpy(), vec.fill_null(-1).to_numpy(zero_copy_only=False), vec.is_valid().to_numpy(zero_copy_only=False)
+        found, sims = self.graph.search(_vectors(rows.column(rows.schema.get_field_index("embedding")), dimension), k + 1, beam)
         out_s, out_m, lengths = [], [], []
-        single = len(keys) == len(starts) - 1
-        for i in range(len(own)):
-            if single:
-                members = found[i][found[i] >= 0]
-                s = sims[i][: len(members)]
-            else:
-                spans = [np.arange(starts[j], min(starts[j + 1], starts[j] + k + 1)) for j in found[i] if j >= 0]
-                members = np.concatenate(spans) if spans else np.zeros(0, np.int64)
-                s = np.repeat(sims[i][: len(spans)], [len(v) for v in spans])
-            other = keys[members] != own[i]
+        for i in range(len(keys)):
+            nodes = found[i][found[i] >= 0]
+            # of a node with many vectors the least ids, one more than wanted as the query itself may be one
+            spans = [np.arange(self.starts[j], min(self.starts[j + 1], self.starts[j] + k + 1)) for j in nodes]
+            members = np.concatenate(spans) if spans else np.zeros(0, np.int64)
+            s = np.repeat(sims[i][: len(spans)], [len(v) for v in spans])
+            other = (self.keys[members] != keys[i]) | (self.ids[members] != ids[i]) | (self.known[members] != known[i])
             members, s = members[other][:k], s[other][:k]
             out_m.append(members), out_s.append(s), lengths.append(len(members))
         members = np.concatenate(out_m).astype(np.int64)
-        values = pa.StructArray.from_arrays([pa.array(np.concatenate(out_s).astype(np.float64)), pa.array(ids[members], mask=~known[members]), pa.array(keys[members])], names=["similarity", "vec_id", "key"])
+        values = pa.StructArray.from_arrays([pa.array(np.concatenate(out_s).astype(np.float64)), pa.array(self.ids[members], mask=~self.known[members]), pa.array(self.keys[members])], names=["similarity", "vec_id", "key"])
         near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
-        return pa.table({"vec_id": rows.column("vec_id").cast(pa.int64()), "key": rows.column("key"), "near": near})
+        return pa.RecordBatch.from_arrays([vec, pa.array(keys, pa.int64()), near.cast(_NEAR)], names=["vec_id", "key", "near"])
+
+
+def _stream(dimension: int, k: int, beam: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            graphs = batch.column(batch.schema.get_field_index("graph")).is_valid().to_numpy(zero_copy_only=False)
+            at = 0
+            for g in [*np.flatnonzero(graphs).tolist(), batch.num_rows]:  # a graph comes before its queries
+                for a in range(at, g, 2048):
+                    yield shard.search(batch.slice(a, min(2048, g - a)), dimension, k, beam)
+                if g < batch.num_rows:
+                    shard = _Shard(*(batch.column(batch.schema.get_field_index(c))[g].as_py() for c in ("graph", "keys", "ids", "starts")))
+                at = g + 1
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, links: int = LINKS, build_beam: int = BUILD, beam: int = BEAM, shard: int = SHARD, searches: int = SEARCHES) -> DataFrame:
-    """``embeddings`` -> ``(vec_id, neighbour_ids, similarities)``: the ``k`` vectors of greatest cosine, best first, for each vector.
+def shards_of(n: int, dimension: int, links: int = LINKS, shard: int = SHARD, most: int = SHARD_BYTES) -> int:
+    """How many shards ``n`` vectors are dealt to."""
+    return max(1, -(-n * (4 * dimension + 8 * links + 64) // most), min(SPREAD, -(-n // shard)))
+
+
+def neighbours(
+    vectors: DataFrame, k: int = K, every: int = EVERY, links: int = LINKS, build_beam: int = BUILD, beam: int = BEAM, shard: int = SHARD, searches: int = SEARCHES
+) -> DataFrame:
+    """``embeddings`` -> ``(vec_id, neighbour_ids, similarities)``: the ``k`` vectors of greatest cosine, best first, for each vector whose id ``every`` divides.
 
-    Every vector is searched for, in every shard. It is no neighbour of its own,
+    Queries are searched for among all vectors, in every shard. A query is no neighbour of its own,
     but another of the same direction is one; of equal similarities the lesser id is first. Rows that repeat
     id and vector count once. Vectors that are null, empty, zero, not finite, have a null in
-    them, or another dimension than most, have no neighbours (empty arrays) and are nobody's. Ids may be null or repeat.
+    them, or another dimension than most, have no neighbours (empty arrays) and are nobody's. Ids may repeat; a null
+    id is no query unless ``every`` is 1, but may be a neighbour. An empty table gives no rows; other columns are ignored.
     """
     rows = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     rows = rows.withColumn("square", squares)
     usable = F.coalesce((F.col("square") > 0) & (F.col("square") < 1e30) & ~F.isnan("square"), F.lit(False))
-    most = rows.filter(usable).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    asked = F.lit(True) if every == 1 else F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
+    most = rows.filter(usable).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.sum(asked.cast("long")).alias("asked")).orderBy(F.desc("n"), "d").first()
     lists = {"neighbour_ids": "array<long>", "similarities": "array<double>"}
     if most is None:
-        return rows.select("vec_id", *[F.array().cast(t).alias(c) for c, t in lists.items()]).distinct()
-    dimension, n = most["d"], most["count"]
+        return rows.filter(asked).select("vec_id", *[F.array().cast(t).alias(c) for c, t in lists.items()]).distinct()
+    dimension, n = most["d"], most["n"]
     good = usable & (F.size("embedding") == dimension)
-    shards, blocks = -(-n // shard), -(-n // searches)
+    shards, parts = shards_of(n, dimension, links, shard), max(1, -(-most["asked"] // searches))
     keyed = rows.filter(good).select("vec_id", "embedding", F.xxhash64("vec_id", "embedding").alias("key"))
     to_shards = keyed.withColumn("shard", F.pmod(F.xxhash64(F.col("key")), F.lit(shards)).cast("long"))
     graphs = written(to_shards.groupBy("shard").applyInArrow(_build(dimension, links, build_beam), "shard long, graph binary, keys binary, ids array<long>, starts binary"))
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = keyed.withColumns({"block": F.pmod(F.xxhash64(F.col("key"), F.lit(1)), F.lit(blocks)).cast("long"), "shard": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))})
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
-        _search(dimension, k, beam), "vec_id long, key long, near array<struct<similarity: double, vec_id: long, key: long>>"
-    )
-    found = found.groupBy("key", "vec_id").agg(F.flatten(F.collect_list("near")).alias("near"))
-    first = F.transform("near", lambda x: F.struct((-x["similarity"]).alias("s"), x["vec_id"].alias("vec_id"), x["key"].alias("key")))
+    left = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    right = keyed.filter(asked).dropDuplicates(["vec_id", "key"]).withColumns({"part": F.pmod(F.xxhash64(F.col("key"), F.lit(1)), F.lit(parts)).cast("long"), "shard": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))})
+    both = left.unionByName(right, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("graph").isNull())
+    found = both.mapInArrow(_stream(dimension, k, beam), "vec_id long, key long, near array<struct<similarity: double, vec_id: long, key: long>>")
+    found = found.groupBy("key", "vec_id").agg(F.flatten(F.collect_list("near")).alias("near"))  # k for each shard
+    first = F.transform("near", lambda x: F.struct((-x["similarity"]).alias("s"), x["vec_id"].isNull().alias("last"), x["vec_id"].alias("vec_id"), x["key"].alias("key")))
     best = found.withColumn("near", F.slice(F.array_sort(first), 1, k))
     merged = best.select("vec_id", F.col("near.vec_id").alias("neighbour_ids"), F.transform("near.s", lambda s: F.round(-s, 6)).alias("similarities"))
-    others = rows.filter(~good).select("vec_id", *[F.array().cast(t).alias(c) for c, t in lists.items()]).distinct()
+    others = rows.filter(~good & asked).select("vec_id", *[F.array().cast(t).alias(c) for c, t in lists.items()]).distinct()
     return merged.unionByName(others)

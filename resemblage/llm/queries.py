@@ -29,7 +29,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest vectors of every vector."""
+    """The nearest of all vectors, for every vector whose id is divisible by 20."""
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 

@@ -25,11 +25,27 @@ def test_recall_over_shards(spark):
     p = df.toPandas()
     x = np.stack(p["embedding"])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.neighbours(df, shard=130, searches=200).collect()}
+    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.neighbours(df, every=1, shard=130, searches=200).collect()}
     assert len(got) == len(p) and all(len(v) == ann.K and i not in v for i, v in got.items())
     assert recall(p["vec_id"], x, got, ann.K) >= 0.98
 
 
+def test_queries_are_every_twentieth_id_against_all(spark):
+    df = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    p = df.toPandas()
+    x = np.stack(p["embedding"])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for options in ({}, {"shard": 130, "searches": 7}):
+        got = {r["vec_id"]: r["neighbour_ids"] for r in ann.neighbours(df, **options).collect()}
+        assert sorted(got) == [i for i in sorted(p["vec_id"]) if i % 20 == 0]
+        assert recall(p["vec_id"], x, got, ann.K) >= 0.98 and any(j % 20 for v in got.values() for j in v)
+
+
+def test_shards_grow_by_bytes():
+    assert [ann.shards_of(n, 64) for n in (1, 16_384, 16_385, 10**6, 10**7)] == [1, 1, 2, 32, 35]
+    assert ann.shards_of(10**9, 64) * ann.SHARD_BYTES >= 10**9 * 4 * 64
+
+
 def test_recall_of_one_graph():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 32)).astype(np.float32)
@@ -52,21 +68,35 @@ def test_small_graphs():
 def test_hostile_table(spark):
     v = [1.0, 2.0, 2.0]
     rows = [(1, v), (1, v), (2, [2.0, 4.0, 4.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 1.0]), (7, [float("nan"), 1.0, 1.0]), (8, [1.0, 2.0]), (None, [0.0, 0.0, 1.0]), (9, v), (10, [float("inf"), 0.0, 0.0])]
-    got = {r["vec_id"]: r for r in ann.neighbours(frame(spark, rows), k=3).collect()}
+    got = {r["vec_id"]: r for r in ann.neighbours(frame(spark, rows), k=3, every=1).collect()}
     assert len(got) == 11
     assert got[1]["neighbour_ids"] == [2, 9, None] and got[1]["similarities"][:2] == [1.0, 1.0]
     assert all(got[i]["neighbour_ids"] == [] for i in (3, 4, 5, 6, 7, 8, 10)) and len(got[None]["neighbour_ids"]) == 3
     assert ann.neighbours(frame(spark, [])).count() == 0
-    assert ann.neighbours(frame(spark, [(1, None)])).first()["neighbour_ids"] == []
+    assert ann.neighbours(frame(spark, [(20, None)])).first()["neighbour_ids"] == []
 
 
 def test_many_copies(spark):
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100 + i, [float(np.cos(i)), float(np.sin(i))]) for i in range(40)]
-    got = {r["vec_id"]: r for r in ann.neighbours(frame(spark, rows), k=5).collect()}
+    got = {r["vec_id"]: r for r in ann.neighbours(frame(spark, rows), k=5, every=1).collect()}
     assert len(got) == 80 and all(got[i]["similarities"] == [1.0] * 5 and i not in got[i]["neighbour_ids"] for i in range(40))
 
 
 def test_copies_are_the_least_ids(spark):
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(None, [1.0, 0.0]), (50, [0.0, 1.0])]
-    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.neighbours(frame(spark, rows), k=5).collect()}
+    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.neighbours(frame(spark, rows), k=5, every=1).collect()}
     assert all(got[i] == [j for j in range(6) if j != i][:5] for i in range(40)) and got[None] == [0, 1, 2, 3, 4]
+
+
+def test_near_copies_beside_copies_are_not_lost(spark):
+    """More equal vectors than are wanted, over several shards, against all pairs with the rule of ties."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(0, 300, 3)] + [(i, [float(v) for v in rng.normal(size=3)]) for i in range(1, 300, 3)]
+    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.neighbours(frame(spark, rows), k=6, shard=40).collect()}
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    assert all(v == [j for j in range(0, 24, 3) if j != i][:6] for i, v in got.items() if i % 3 == 0)
+
+
+def test_no_query(spark):
+    assert ann.neighbours(frame(spark, [(1, [1.0, 0.0]), (None, [0.0, 1.0])])).count() == 0
+    assert ann.neighbours(frame(spark, [(20, [1.0, 0.0]), (None, [0.0, 1.0]), (40, None)])).collect()[0]["neighbour_ids"] is not None

@@ -6,6 +6,13 @@ the distinct shingles' hashes. The sketch of a union is the k least of the
 sketches' union, so sketches of parts merge to that of the whole. From sketches
 alone come estimates of the number of distinct shingles, of the resemblance of
 two sets and of how far one contains the other.
+
+Documents of equal sketches are one class. Two classes are linked if the estimate of their resemblance is
+``LINK`` or more; every link is found, as follows. A linked pair shares so many hashes that it has one
+among the rarest few of either (prefix filtering, the rarest first). Classes that have such a hash in common meet at the
+least class that has it, in pairs of blocks of ``BLOCK`` classes, where products of 0-1 matrices count what they share; a pair that meets
+several times is counted at the first. Hashes that stand in more than a few thousandths of the
+rows, as those of a passage in a third of them, are the last in the order, so that rows hardly meet at them, and don't move by hash.
 """
 
 from __future__ import annotations
@@ -25,8 +32,14 @@ _NONE = "(none)"
 #: Hashes are halved to lie in [0, 2**63), where signed and unsigned order are the same.
 SPACE = float(1 << 63)
 _PAD = np.int64((1 << 63) - 1)
-#: Sketches of so many sets are broadcast to their pairs.
-BROADCAST = 50_000
+#: The least resemblance of a link.
+LINK = 0.5
+#: Classes of a block, and of the squares that its matrices are cut into; elements of a matrix of pairs.
+BLOCK, SQUARE, ELEMENTS = 2048, 256, 4_000_000
+#: A hash that stands in so many rows of a batch, or in one of so many, is reported; one that is reported for as large a share of all rows is common.
+COMMON, COMMON_ROWS = 1000, 8
+#: Sketches of names that a task holds.
+MOST_NAMES = 20_000
 
 
 def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -60,21 +73,27 @@ def _sketch(k: int, n: int):
             texts, out = byte_texts(batch.column(2)), []
             for a, b in slices([len(t) for t in texts], 1_000_000):
                 out += sketches_of(texts[a:b], k, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "source", "sketch"])
+            seen = {}
+            first = [len(x) > 0 and seen.setdefault(x.tobytes(), i) == i for i, x in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(first, pa.bool_())], names=["doc_id", "source", "sketch", "first"])
 
     return run
 
 
 def sketches(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
-    """``documents`` -> ``(doc_id, source, sketch)`` for each row; texts without words, null or empty, have empty sketches."""
+    """``documents`` -> ``(doc_id, source, sketch, first)`` for each row; texts without words, null or empty, have empty sketches. ``first`` is false for some rows whose sketch another row has."""
     rows = pick(docs, "doc_id", "source", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_sketch(k, n), f"doc_id {kind}, source string, sketch array<long>")
+    return rows.mapInArrow(_sketch(k, n), f"doc_id {kind}, source string, sketch array<long>, first boolean")
 
 
-def _merge(k: int):
+def _merge(k: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["name", "sketch"])
+
         for batch in batches:
             column = batch.column(1)
             values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -82,28 +101,56 @@ def _merge(k: int):
             codes = names.indices.to_numpy(zero_copy_only=False)
             owner = np.repeat(codes, np.diff(ends))
             values = values[ends[0] : ends[-1]]
+            order = np.argsort(owner, kind="stable")
+            values, at = values[order], np.searchsorted(owner[order], np.arange(len(names.dictionary) + 1))
             for code, name in enumerate(names.dictionary.to_pylist()):
-                held[name] = least(np.concatenate([held.get(name, values[:0]), values[owner == code]]), k)
+                held[name] = least(np.concatenate([held.get(name, values[:0]), values[at[code] : at[code + 1]]]), k)
+            if len(held) > most:
+                yield out()
+                held.clear()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["name", "sketch"])
+            yield out()
 
     return run
 
 
-def merged(parts: DataFrame, k: int = K) -> DataFrame:
+def _merged(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one name are neighbours: the last one waits for the next batch."""
+        name, sketch, names, out = None, None, [], []
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1)):
+                y = y.values.to_numpy(zero_copy_only=False)
+                if x == name:
+                    sketch = least(np.concatenate([sketch, y]), k)
+                    continue
+                if name is not None:
+                    names.append(name), out.append(sketch)
+                name, sketch = x, y
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.list_(pa.int64()))], names=["name", "sketch"])
+                names, out = [], []
+        if name is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([sketch], pa.list_(pa.int64()))], names=["name", "sketch"])
+
+    return run
+
+
+def merged(parts: DataFrame, k: int = K, most: int = MOST_NAMES) -> DataFrame:
     """``parts(name, sketch)`` -> ``(name, sketch)``, a row for each name: sketches of one name merge to that of their union.
 
     Each task merges what it reads first, so one sketch of a name and task
-    moves, however many documents a name has. A null name is "(none)".
+    moves, however many documents a name has; of more than ``most`` names in a task it gives what it has and goes on. A null name is "(none)".
     """
     rows = parts.select(F.coalesce("name", F.lit(_NONE)).alias("name"), "sketch")
-    return rows.mapInArrow(_merge(k), "name string, sketch array<long>").repartition("name").mapInArrow(_merge(k), "name string, sketch array<long>")
+    moved = rows.mapInArrow(_merge(k, most), "name string, sketch array<long>").repartition("name").sortWithinPartitions("name")
+    return moved.mapInArrow(_merged(k), "name string, sketch array<long>")
 
 
 def distinct_count(sketch: Column | str, k: int = K) -> Column:
     """About how many distinct shingles a sketch was made of; exact where it isn't full."""
     s = F.col(sketch) if isinstance(sketch, str) else sketch
-    return F.when(F.size(s) < k, F.size(s).cast("double")).otherwise((k - 1) * SPACE / (F.element_at(s, k).cast("double") + 1))
+    return F.when(F.size(s) < k, F.size(s).cast("double")).otherwise(F.greatest(F.lit(float(k)), (k - 1) * SPACE / (F.element_at(s, k).cast("double") + 1)))
 
 
 def overlap(a: Column, b: Column, k: int = K) -> tuple[Column, Column]:
@@ -132,103 +179,225 @@ def compare(pairs: DataFrame, k: int = K) -> DataFrame:
 
 
 def overlapping(parts: DataFrame, k: int = K) -> DataFrame:
-    """``parts(name, sketch)`` of distinct names -> estimates for each pair, 0 where the sketches share no hash."""
-    pairs = parts.select("name").crossJoin(parts.select(F.col("name").alias("other"))).filter("name < other")
+    """``parts(name, sketch)`` of distinct names -> estimates for each pair whose sketches share a hash; for all others they are 0."""
+    hashes = parts.select("name", F.explode("sketch").alias("h"))
+    pairs = hashes.join(hashes.withColumnRenamed("name", "other"), "h").filter("name < other").select("name", "other").distinct()
     left = parts.select("name", F.col("sketch").alias("sketch_a"))
     right = parts.select(F.col("name").alias("other"), F.col("sketch").alias("sketch_b"))
     return compare(pairs.join(left, "name").join(right, "other"), k).select("name", "other", "resemblance", "a_in_b", "b_in_a")
 
 
-def estimates(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """What ``compared`` gives, a row for each row of ``a`` and ``b``: not empty sketches, filled up to k with _PAD."""
-    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    again = np.zeros(both.shape, bool)
-    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)  # a hash stands in a sketch once
-    place = np.cumsum(~again, axis=1, dtype=np.int16)
-    shared = (again & (place <= k)).sum(axis=1)
-    n = np.minimum(k, ((both != _PAD) & ~again).sum(axis=1))
-    last = both[np.arange(len(both)), (place < k).sum(axis=1)]
+def _common(common: int, least_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            often = n >= max(least_rows, batch.num_rows // common)
+            yield pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often])], names=["h", "n"])
+
+    return run
+
 
-    def count(size: np.ndarray, kth: np.ndarray) -> np.ndarray:
-        return np.where(size < k, size, (k - 1) * SPACE / (kth.astype(np.float64) + 1))
+def common_hashes(each: DataFrame, n: int, common: int = COMMON, least_rows: int = COMMON_ROWS) -> DataFrame:
+    """``(h)``: hashes in a ``common``-th of ``n`` sketches at least, so K times ``common`` at most; all that are in a few times as many are among them."""
+    counts = each.select("sketch").mapInArrow(_common(common, least_rows), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") >= max(2 * least_rows, n / common)).select("h")
 
-    r = shared / n
-    of = r * count(n, last)
-    return np.stack([r, *(np.minimum(1.0, of / count((x != _PAD).sum(axis=1), x[:, -1])) for x in (a, b))], axis=1)
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``(h, class, rank, count)`` in the order of h and class those whose h has more than one class, each once, with how many classes it has."""
+    held: list[pa.RecordBatch] = []
 
-def _padded(column: pa.Array, k: int) -> np.ndarray:
-    ends = column.offsets.to_numpy()
-    out = np.full((len(column), k), _PAD)
-    out[np.arange(k) < np.diff(ends)[:, None]] = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    def out(rows: pa.Table) -> list[pa.RecordBatch]:
+        h, c = rows.column("h").to_numpy(), rows.column("class").to_numpy()
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        rows, h = rows.filter(pa.array(new)), h[new]
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        df = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1]
+        return rows.append_column("df", pa.array(df, pa.int64())).filter(pa.array(df > 1)).combine_chunks().to_batches(max_chunksize=1 << 30)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column(0).to_numpy()
+        last = int(np.searchsorted(h, h[-1]))  # what has the last hash waits for the next batch
+        if last or (held and held[-1].column(0)[-1].as_py() != h[0]):
+            held.append(batch.slice(0, last))
+            yield from out(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from out(pa.Table.from_batches(held))
+
+
+def records(each: DataFrame, n: int, k: int, link: float, common: int, common_rows: int) -> DataFrame:
+    """``each(class, first, count, sketch)`` -> ``(class, count, prefix, hashes, ranks)`` of classes that share enough hashes with others to be linked.
+
+    ``hashes`` are those that other classes have too, ascending, ``ranks`` their places in the sketch, ``prefix`` the rarest of
+    them, so many that of any two linked classes the rarest hash they share is in both.
+    """
+    hot = F.broadcast(common_hashes(each, n, common, common_rows))  # at most k * common hashes
+    rows = each.filter("first").select(F.posexplode("sketch").alias("rank", "h"), "class", "count").select("h", "class", F.col("rank").cast("byte").alias("rank"), "count")
+    cold = rows.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h", "class")
+    cold = cold.mapInArrow(_repeated, "h long, class long, rank byte, count double, df long")
+    shared = cold.unionByName(rows.join(hot, "h", "left_semi").withColumn("df", F.lit(n).cast("long")))
+    lists = shared.groupBy("class").agg(F.first("count").alias("count"), F.array_sort(F.collect_set(F.struct("df", "h", "rank"))).alias("xs"))  # k at most
+    need = F.ceil(F.lit(link) * F.least(F.col("count"), F.lit(float(k))).cast("int") - 1e-9).cast("int")
+    able = lists.withColumn("spare", F.size("xs") - need).filter("spare >= 0")
+    by_hash = F.array_sort(F.transform("xs", lambda x: F.struct(x["h"], x["rank"])))
+    return able.select("class", "count", F.slice("xs.h", 1, F.col("spare") + 1).alias("prefix"), by_hash.alias("ys")).select("class", "count", "prefix", F.col("ys.h").alias("hashes"), F.col("ys.rank").alias("ranks"))
+
+
+def _matrix(flat: np.ndarray, owner: np.ndarray, rows: np.ndarray, known: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """Which of the ``known`` hashes each of ``rows`` has (or with what value; -1 if not)."""
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    hit = known[at] == flat
+    out = np.zeros((len(rows), len(known)), np.float32) if values is None else np.full((len(rows), len(known)), -1, np.int16)
+    out[np.searchsorted(rows, owner[hit]), at[hit]] = 1 if values is None else values[hit]
     return out
 
 
-def _estimated(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                e = estimates(_padded(batch.column(2), k), _padded(batch.column(3), k), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(x)) for x in e.T)], names=["name", "other", "resemblance", "a_in_b", "b_in_a"])
+class _Ragged:
+    """A list column: flat values, their rows, and where each row starts."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        column = column.combine_chunks()
+        self.ends = column.offsets.to_numpy().astype(np.int64)
+        self.flat = column.values.to_numpy(zero_copy_only=False)[self.ends[0] : self.ends[-1]]
+        self.ends = self.ends - self.ends[0]
+
+    def part(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.flat[self.ends[a] : self.ends[b]], np.repeat(np.arange(a, b), np.diff(self.ends[a : b + 1]))
+
+
+def _links(k: int, link: float, square: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        hub, i, j = (x.as_py() for x in key)
+        table = table.sort_by([("block", "ascending"), ("class", "ascending")])
+        block, own, count = (table.column(c).to_numpy() for c in ("block", "class", "count"))
+        hashes, ranks, hubs = _Ragged(table.column("hashes")), _Ragged(table.column("ranks")), _Ragged(table.column("hubs"))
+        size = np.minimum(k, count).astype(np.int64)
+        need = np.ceil(link * size - 1e-9)
+        middle = int(np.searchsorted(block, i, side="right")) if i != j else len(block)
+        found = []
+        for a in range(0, middle, square):
+            for b in range(a if i == j else middle, len(block), square):
+                found += _square((a, min(a + square, middle)), (b, min(b + square, len(block))), hub, hashes, ranks, hubs, size, need, k, link)
+        r, c, res = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        a, b, res = np.concatenate([r, c]), np.concatenate([c, r]), np.concatenate([res, res])
+        shared = res * (count[a] + count[b]) / (1 + res)
+        ids = table.column("class_id").combine_chunks()
+        known, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.cast(pa.int64()).fill_null(0).to_numpy()
+        order = np.lexsort((own[b], number[b], ~known[b], -res, a))  # the best link of each class first
+        a, b, res, shared = a[order], b[order], res[order], shared[order]
+        best = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+        x, y = a[best], b[best]
+        return pa.table(
+            {
+                "class": own[x], "links": np.bincount(a, minlength=len(own))[x], "resemblance": res[best], "other": own[y], "other_id": pa.array(number[y], mask=~known[y]),
+                "a_in_b": np.minimum(1.0, shared[best] / count[x]), "b_in_a": np.minimum(1.0, shared[best] / count[y]),
+            }
+        )
 
     return run
 
 
-def document_pairs(each: DataFrame, k: int = K) -> DataFrame:
-    """``each(doc_id, sketch)`` -> ``(doc_id, other_id, resemblance, a_in_b, b_in_a)`` for each two rows whose sketches share a hash.
+def _square(rows: tuple[int, int], columns: tuple[int, int], hub: int, hashes: _Ragged, ranks: _Ragged, hubs: _Ragged, size: np.ndarray, need: np.ndarray, k: int, link: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The links between two ranges of classes that no lesser hub has found."""
+    same = rows == columns
+    (ha, oa), (hb, ob) = hashes.part(*rows), hashes.part(*columns)
+    if same:
+        v, n = np.unique(ha, return_counts=True)
+        known = v[n > 1]
+    else:
+        known = np.intersect1d(ha, hb)
+    if not len(known):
+        return []
+    ra, rb = np.arange(*rows), np.arange(*columns)
+    x = _matrix(ha, oa, ra, known)
+    y = x if same else _matrix(hb, ob, rb, known)
+    shared = x @ y.T
+    near = shared >= np.maximum(need[ra][:, None], need[rb][None, :])
+    if same:
+        near &= np.arange(len(ra))[:, None] < np.arange(len(rb))[None, :]
+    if not near.any():
+        return []
+    (ua, pa_), (ub, pb) = hubs.part(*rows), hubs.part(*columns)
+    less_a, less_b = ua < hub, ub < hub
+    earlier = np.intersect1d(ua[less_a], ub[less_b])
+    if len(earlier):
+        near &= (_matrix(ua[less_a], pa_[less_a], ra, earlier) @ _matrix(ub[less_b], pb[less_b], rb, earlier).T) == 0
+    r, c = np.nonzero(near)
+    if not len(r):
+        return []
+    x = _matrix(ha, oa, ra, known, ranks.part(*rows)[0])
+    y = x if same else _matrix(hb, ob, rb, known, ranks.part(*columns)[0])
+    out, step = [], max(1, ELEMENTS // len(known))
+    for a in range(0, len(r), step):
+        p, q = r[a : a + step], c[a : a + step]
+        u, v = x[p], y[q]
+        both = (u >= 0) & (v >= 0)
+        # a hash that is the i-th, j-th and m-th of a, of b and of what they share is the (i + j - m)-th of the union
+        least_k = both & (u + v + 2 - np.cumsum(both, axis=1, dtype=np.int16) <= k)
+        res = least_k.sum(axis=1) / np.minimum(k, size[ra[p]] + size[rb[q]] - shared[p, q])
+        ok = res >= link - 1e-12
+        out.append((ra[p[ok]], rb[q[ok]], res[ok]))
+    return out
+
 
-    Equal sketches are one set, compared once and then given to all its rows; two rows of one set
-    are copies, with estimates of 1. ``doc_id`` is the lesser id, nulls last. No pair is left out,
-    so the rows grow with the square of how many documents share a passage.
+def classes(each: DataFrame, k: int = K, link: float = LINK, block: int = BLOCK, square: int = SQUARE, common: int = COMMON, common_rows: int = COMMON_ROWS) -> DataFrame:
+    """``each(doc_id, sketch, class, first, count)`` -> ``(class, class_id, class_size, n_links, other_id, resemblance, a_in_b, b_in_a)``, a row for each class.
+
+    ``class_id`` is the least ``doc_id`` of the class. ``n_links`` counts the other classes that resemble it by ``link`` or more; what follows is
+    of the one that does most (of several the one of least ``class_id``, nulls last), and null without any.
     """
-    # a struct, as lists leave out nulls; ids are given once, so the sets are written before they are read again
-    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
-    sets = each.filter(F.size("sketch") > 0).groupBy("sketch").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    sets = written(sets.withColumn("name", F.monotonically_increasing_id()))
-    a, b = sets.select("name", F.explode("rows").alias("x")), sets.select(F.col("name").alias("other"), F.explode("rows").alias("y"))
-    hashes = sets.select("name", F.explode("sketch").alias("h"))
-    pairs = hashes.join(hashes.withColumnRenamed("name", "other"), "h").filter("name < other").select("name", "other").distinct()
-    move = F.broadcast if sets.count() <= BROADCAST else lambda df: df
-    pairs = pairs.join(move(sets.select("name", F.col("sketch").alias("sketch_a"))), "name").join(move(sets.select(F.col("name").alias("other"), F.col("sketch").alias("sketch_b"))), "other")
-    near = pairs.select("name", "other", "sketch_a", "sketch_b").mapInArrow(_estimated(k), "name long, other long, resemblance double, a_in_b double, b_in_a double")
-    near = near.select("name", "other", *[F.round(c, 6).alias(c) for c in ("resemblance", "a_in_b", "b_in_a")]).join(a, "name").join(b, "other")
-    turned = F.col("x") > F.col("y")
-    near = near.select(
-        F.when(turned, F.col("y.doc_id")).otherwise(F.col("x.doc_id")).alias("doc_id"), F.when(turned, F.col("x.doc_id")).otherwise(F.col("y.doc_id")).alias("other_id"), "resemblance",
-        F.when(turned, F.col("b_in_a")).otherwise(F.col("a_in_b")).alias("a_in_b"), F.when(turned, F.col("a_in_b")).otherwise(F.col("b_in_a")).alias("b_in_a"),
+    known = each.filter("class is not null")
+    own = written(known.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
+    able = written(records(known, known.count(), k, link, common, common_rows))
+    posted = able.select("class", F.explode("prefix").alias("h"))
+    least_class = posted.groupBy("h").agg(F.min("class").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("h", "hub")
+    met = written(posted.join(least_class, "h").select("hub", "class").distinct())
+    blocks = met.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    wide = met.groupBy("class").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # as many as a prefix has hashes
+    wide = able.select("class", "count", "hashes", "ranks").join(wide, "class").join(own.select("class", "class_id"), "class")
+    dealt = met.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("hub", "class", "block", other.alias("o")).select("hub", "class", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    parts = dealt.join(wide, "class").groupBy("hub", "i", "j").applyInArrow(_links(k, link, square), "class long, links long, resemblance double, other long, other_id long, a_in_b double, b_in_a double")
+    order = F.struct((-F.col("resemblance")).alias("r"), F.col("other_id").isNull().alias("last"), "other_id", "other", "a_in_b", "b_in_a")
+    sums = parts.groupBy("class").agg(F.sum("links").alias("n_links"), F.min(order).alias("x"))
+    kind = each.schema["doc_id"].dataType
+    return own.join(sums, "class", "left").select(
+        "class", "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("x.other_id").cast(kind).alias("other_id"),
+        F.round(-F.col("x.r"), 6).alias("resemblance"), F.round("x.a_in_b", 6).alias("a_in_b"), F.round("x.b_in_a", 6).alias("b_in_a"),
     )
-    copies = sets.filter(F.size("rows") > 1).select("rows", F.posexplode("rows").alias("i", "x"))
-    copies = copies.select("x", F.explode(F.expr("slice(rows, i + 2, size(rows))")).alias("y"))
-    one = [F.lit(1.0).alias(c) for c in ("resemblance", "a_in_b", "b_in_a")]
-    return near.unionByName(copies.select(F.col("x.doc_id").alias("doc_id"), F.col("y.doc_id").alias("other_id"), *one))
 
 
-def fingerprint(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
-    """``documents`` -> ``(level, doc_id, other_id, name, other, n_shingles, resemblance, a_in_b, b_in_a, sketch)``.
+def fingerprint(docs: DataFrame, k: int = K, n: int = WORDS, link: float = LINK, **how) -> DataFrame:
+    """``documents`` -> ``(level, doc_id, other_id, name, other, n_shingles, resemblance, a_in_b, b_in_a, class_id, class_size, n_links, sketch)``.
 
     Level "document": a row for each row, with its sketch and about how many
-    distinct shingles it has. Level "source": the sketches of a source's documents
+    distinct shingles it has. Level "links": a row for each row again, with the class of equal sketches that it is of
+    (named by the least ``doc_id``), how many rows that has, how many other classes resemble it by ``link`` or more, and with the one
+    that does most as ``other_id`` the three estimates. Level "source": the sketches of a source's documents
     merged, a row for each source (null is "(none)"). Level "pair": for each two
     sources, the resemblance of ``name`` and ``other``, and
-    how far each is contained in the other. Level "documents": the same for ``doc_id`` and
-    ``other_id``, for each two documents whose sketches meet, all of them. Null, empty and wordless texts have empty
-    sketches and count 0; repeated rows repeat; an empty table gives no rows.
+    how far each is contained in the other. Null, empty and wordless texts have empty
+    sketches, count 0 and are of no class; repeated rows repeat; very long texts are read whole; an empty table gives no rows; other columns are
+    ignored, whatever their names. ``how`` is passed to ``classes``; the result doesn't depend on it.
     """
-    each = written(sketches(docs, k, n))
-    pairs = document_pairs(each, k)
+    each = written(sketches(docs, k, n).withColumns({"class": F.when(F.size("sketch") > 0, F.xxhash64("sketch")), "count": distinct_count("sketch", k)}))
+    linked = each.select("doc_id", "class").join(classes(each, k, link, **how), "class", "left")
     sources = written(merged(each.select(F.col("source").alias("name"), "sketch"), k))
-    none = {"double": F.lit(None).cast("double"), "string": F.lit(None).cast("string")}
     kind = each.schema["doc_id"].dataType
-    rest = [none["double"].alias(c) for c in ("resemblance", "a_in_b", "b_in_a")]
-    count = F.round(distinct_count("sketch", k), 3).alias("n_shingles")
-    a = each.select(F.lit("document").alias("level"), "doc_id", F.lit(None).cast(kind).alias("other_id"), F.coalesce("source", F.lit(_NONE)).alias("name"), none["string"].alias("other"), count, *rest, "sketch")
-    b = sources.select(F.lit("source").alias("level"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast(kind).alias("other_id"), "name", none["string"].alias("other"), count, *rest, "sketch")
-    c = overlapping(sources, k).select(
-        F.lit("pair").alias("level"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast(kind).alias("other_id"), "name", "other", none["double"].alias("n_shingles"),
-        "resemblance", "a_in_b", "b_in_a", F.lit(None).cast("array<long>").alias("sketch"),
-    )
-    d = pairs.select(
-        F.lit("documents").alias("level"), "doc_id", "other_id", none["string"].alias("name"), none["string"].alias("other"), none["double"].alias("n_shingles"),
-        "resemblance", "a_in_b", "b_in_a", F.lit(None).cast("array<long>").alias("sketch"),
-    )
-    return a.unionByName(b).unionByName(c).unionByName(d)
+    shape = {
+        "level": "string", "doc_id": kind, "other_id": kind, "name": "string", "other": "string", "n_shingles": "double", "resemblance": "double", "a_in_b": "double", "b_in_a": "double",
+        "class_id": kind, "class_size": "long", "n_links": "long", "sketch": "array<long>",
+    }
+
+    def shaped(df: DataFrame, level: str) -> DataFrame:
+        df = df.withColumn("level", F.lit(level))
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()])
+
+    a = each.select("doc_id", F.coalesce("source", F.lit(_NONE)).alias("name"), F.round("count", 3).alias("n_shingles"), "sketch")
+    b = sources.select("name", F.round(distinct_count("sketch", k), 3).alias("n_shingles"), "sketch")
+    return shaped(a, "document").unionByName(shaped(linked, "links")).unionByName(shaped(b, "source")).unionByName(shaped(overlapping(sources, k), "pair"))

@@ -24,7 +24,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches of all documents and of their sources, and how the sources overlap."""
+    """Sketches of all documents and of their sources, the class and the links of each document, and how the sources overlap."""
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import byte_texts, pick, slices, written
@@ -67,24 +68,31 @@ def sketches_of(texts: list[bytes], k: int = K, n: int = WORDS) -> list[np.ndarr
     return [least(shingles(hashes[at[i] : at[i + 1]], n), k) for i in range(len(texts))]
 
 
+def class_of(sketch: np.ndarray) -> int:
+    """A 64-bit key of all equal sketches."""
+    return xxhash.xxh3_64_intdigest(sketch.tobytes()) - (1 << 63)
+
+
+def _sketched(column: pa.Array, k: int, n: int) -> list[np.ndarray]:
+    texts, out = byte_texts(column), []
+    for a, b in slices([len(t) for t in texts], 1_000_000):
+        out += sketches_of(texts[a:b], k, n)
+    return out
+
+
 def _sketch(k: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = byte_texts(batch.column(2)), []
-            for a, b in slices([len(t) for t in texts], 1_000_000):
-                out += sketches_of(texts[a:b], k, n)
-            seen = {}
-            first = [len(x) > 0 and seen.setdefault(x.tobytes(), i) == i for i, x in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(first, pa.bool_())], names=["doc_id", "source", "sketch", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_sketched(batch.column(2), k, n), pa.list_(pa.int64()))], names=["doc_id", "source", "sketch"])
 
     return run
 
 
 def sketches(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
-    """``documents`` -> ``(doc_id, source, sketch, first)`` for each row; texts without words, null or empty, have empty sketches. ``first`` is false for some rows whose sketch another row has."""
+    """``documents`` -> ``(doc_id, source, sketch)`` for each row; texts without words, null or empty, have empty sketches."""
     rows = pick(docs, "doc_id", "source", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_sketch(k, n), f"doc_id {kind}, source string, sketch array<long>, first boolean")
+    return rows.mapInArrow(_sketch(k, n), f"doc_id {kind}, source string, sketch array<long>")
 
 
 def _merge(k: int, most: int):
@@ -187,64 +195,119 @@ def overlapping(parts: DataFrame, k: int = K) -> DataFrame:
     return compare(pairs.join(left, "name").join(right, "other"), k).select("name", "other", "resemblance", "a_in_b", "b_in_a")
 
 
-def _common(common: int, least_rows: int):
+def _gathered(k: int, n: int, common: int, least_rows: int, most: int):
+    """Three kinds of rows: 0, the class of each document and how many shingles it has; 1, hashes that are common in a batch; 2, merged sketches of sources."""
+
+    def rows(kind: int, size: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int8()), *(columns.get(c, pa.nulls(size, t)) for c, t in _GATHERED.items())], names=["kind", *_GATHERED])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def sources() -> pa.RecordBatch:
+            return rows(2, len(held), name=pa.array(list(held), pa.string()), sketch=pa.array(list(held.values()), pa.list_(pa.int64())))
+
         for batch in batches:
-            h, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            often = n >= max(least_rows, batch.num_rows // common)
-            yield pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often])], names=["h", "n"])
+            found = _sketched(batch.column(2), k, n)
+            keys = pa.array([class_of(x) if len(x) else None for x in found], pa.int64())
+            counts = pa.array([float(len(x)) if len(x) < k else max(float(k), (k - 1) * SPACE / (float(x[k - 1]) + 1)) for x in found], pa.float64())
+            yield rows(0, len(found), doc_id=batch.column(0).cast(pa.int64()), **{"class": keys, "count": counts})
+            h, times = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
+            often = times >= max(least_rows, batch.num_rows // common)
+            yield rows(1, int(often.sum()), h=pa.array(h[often]), times=pa.array(times[often].astype(np.int64)))
+            own: dict[str, list[np.ndarray]] = {}
+            for name, x in zip(batch.column(1).to_pylist(), found):
+                own.setdefault(_NONE if name is None else name, []).append(x)
+            for name, xs in own.items():
+                held[name] = least(np.concatenate([*xs, held[name]] if name in held else xs), k)
+            if len(held) > most:
+                yield sources()
+                held.clear()
+        yield sources()
 
     return run
 
 
-def common_hashes(each: DataFrame, n: int, common: int = COMMON, least_rows: int = COMMON_ROWS) -> DataFrame:
+_GATHERED = {"doc_id": pa.int64(), "class": pa.int64(), "count": pa.float64(), "h": pa.int64(), "times": pa.int64(), "name": pa.string(), "sketch": pa.list_(pa.int64())}
+
+
+def gathered(docs: DataFrame, k: int, n: int, common: int, common_rows: int) -> DataFrame:
+    """What one pass over the texts tells of classes, common hashes and sources, written."""
+    rows = pick(docs, "doc_id", "source", "text")
+    return written(rows.mapInArrow(_gathered(k, n, common, common_rows, MOST_NAMES), "kind byte, doc_id long, class long, count double, h long, times long, name string, sketch array<long>"))
+
+
+def common_hashes(parts: DataFrame, n: int, common: int = COMMON, least_rows: int = COMMON_ROWS) -> DataFrame:
     """``(h)``: hashes in a ``common``-th of ``n`` sketches at least, so K times ``common`` at most; all that are in a few times as many are among them."""
-    counts = each.select("sketch").mapInArrow(_common(common, least_rows), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return counts.filter(F.col("n") >= max(2 * least_rows, n / common)).select("h")
+    counts = parts.filter("kind = 1").groupBy("h").agg(F.sum("times").alias("times"))
+    return counts.filter(F.col("times") >= max(2 * least_rows, n / common)).select("h")
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``(h, class, rank, count)`` in the order of h and class those whose h has more than one class, each once, with how many classes it has."""
-    held: list[pa.RecordBatch] = []
+def _tokens(k: int, n: int):
+    """``(h, class, code)`` for each hash of each class of a batch; a code is 256 times the sketch's size and the place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {class_of(x): x for x in _sketched(batch.column(0), k, n) if len(x)}
+            if found:
+                sizes = np.array([len(x) for x in found.values()])
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(found.values()))), pa.array(np.repeat(np.array(list(found), np.int64), sizes)), pa.array((place + 256 * np.repeat(sizes, sizes)).astype(np.int32))], names=["h", "class", "code"])
+
+    return run
+
+
+def _repeated(n: int):
+    """Of rows ``(h, class, code)`` in the order of h and class those whose h has more than one class, each once, with how many classes it has.
+
+    The code of a common hash is negative: it stays, and counts as one of ``n`` classes.
+    """
 
     def out(rows: pa.Table) -> list[pa.RecordBatch]:
         h, c = rows.column("h").to_numpy(), rows.column("class").to_numpy()
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         rows, h = rows.filter(pa.array(new)), h[new]
         first = np.concatenate([[True], h[1:] != h[:-1]])
-        df = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1]
-        return rows.append_column("df", pa.array(df, pa.int64())).filter(pa.array(df > 1)).combine_chunks().to_batches(max_chunksize=1 << 30)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h = batch.column(0).to_numpy()
-        last = int(np.searchsorted(h, h[-1]))  # what has the last hash waits for the next batch
-        if last or (held and held[-1].column(0)[-1].as_py() != h[0]):
-            held.append(batch.slice(0, last))
+        code = rows.column("code").to_numpy()
+        df = np.where(code < 0, n, np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1])
+        rows = rows.set_column(2, "code", pa.array(np.where(code < 0, -1 - code, code).astype(np.int32)))
+        return rows.append_column("df", pa.array(df, pa.int64())).filter(pa.array(df > 1)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            last = int(np.searchsorted(h, h[-1]))  # what has the last hash waits for the next batch
+            if last or (held and held[-1].column(0)[-1].as_py() != h[0]):
+                held.append(batch.slice(0, last))
+                yield from out(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(last))
+        if held:
             yield from out(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield from out(pa.Table.from_batches(held))
+
+    return run
 
 
-def records(each: DataFrame, n: int, k: int, link: float, common: int, common_rows: int) -> DataFrame:
-    """``each(class, first, count, sketch)`` -> ``(class, count, prefix, hashes, ranks)`` of classes that share enough hashes with others to be linked.
+def records(docs: DataFrame, hot: DataFrame, rows: int, k: int, n: int, link: float) -> DataFrame:
+    """``documents`` -> ``(class, prefix, hashes, ranks)`` of classes that share enough hashes with others to be linked.
 
     ``hashes`` are those that other classes have too, ascending, ``ranks`` their places in the sketch, ``prefix`` the rarest of
     them, so many that of any two linked classes the rarest hash they share is in both.
     """
-    hot = F.broadcast(common_hashes(each, n, common, common_rows))  # at most k * common hashes
-    rows = each.filter("first").select(F.posexplode("sketch").alias("rank", "h"), "class", "count").select("h", "class", F.col("rank").cast("byte").alias("rank"), "count")
-    cold = rows.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h", "class")
-    cold = cold.mapInArrow(_repeated, "h long, class long, rank byte, count double, df long")
-    shared = cold.unionByName(rows.join(hot, "h", "left_semi").withColumn("df", F.lit(n).cast("long")))
-    lists = shared.groupBy("class").agg(F.first("count").alias("count"), F.array_sort(F.collect_set(F.struct("df", "h", "rank"))).alias("xs"))  # k at most
-    need = F.ceil(F.lit(link) * F.least(F.col("count"), F.lit(float(k))).cast("int") - 1e-9).cast("int")
+    found = pick(docs, "text").mapInArrow(_tokens(k, n), "h long, class long, code int")
+    hot = F.broadcast(hot.withColumn("hot", F.lit(True)))  # at most k * common hashes
+    found = found.join(hot, "h", "left").select("h", "class", F.when(F.col("hot"), -1 - F.col("code")).otherwise(F.col("code")).alias("code"))
+    # a common hash goes by its classes, so that no task has all of them
+    found = found.repartition(F.when(F.col("code") < 0, F.col("class")).otherwise(F.col("h"))).sortWithinPartitions("h", "class")
+    shared = found.mapInArrow(_repeated(max(rows, 2)), "h long, class long, code int, df long").repartition("class")
+    lists = shared.groupBy("class").agg(F.first("code").alias("code"), F.array_sort(F.collect_set(F.struct("df", "h", (F.col("code") % 256).cast("short").alias("rank")))).alias("xs"))  # k at most
+    need = F.ceil(F.lit(link) * F.floor(F.col("code") / 256) - 1e-9).cast("int")
     able = lists.withColumn("spare", F.size("xs") - need).filter("spare >= 0")
     by_hash = F.array_sort(F.transform("xs", lambda x: F.struct(x["h"], x["rank"])))
-    return able.select("class", "count", F.slice("xs.h", 1, F.col("spare") + 1).alias("prefix"), by_hash.alias("ys")).select("class", "count", "prefix", F.col("ys.h").alias("hashes"), F.col("ys.rank").alias("ranks"))
+    return able.select("class", F.slice("xs.h", 1, F.col("spare") + 1).alias("prefix"), by_hash.alias("ys")).select("class", "prefix", F.col("ys.h").alias("hashes"), F.col("ys.rank").alias("ranks"))
 
 
 def _matrix(flat: np.ndarray, owner: np.ndarray, rows: np.ndarray, known: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
@@ -344,30 +407,29 @@ def _square(rows: tuple[int, int], columns: tuple[int, int], hub: int, hashes: _
     return out
 
 
-def classes(each: DataFrame, k: int = K, link: float = LINK, block: int = BLOCK, square: int = SQUARE, common: int = COMMON, common_rows: int = COMMON_ROWS) -> DataFrame:
-    """``each(doc_id, sketch, class, first, count)`` -> ``(class, class_id, class_size, n_links, other_id, resemblance, a_in_b, b_in_a)``, a row for each class.
+def classes(docs: DataFrame, parts: DataFrame, k: int = K, n: int = WORDS, link: float = LINK, block: int = BLOCK, square: int = SQUARE, common: int = COMMON, common_rows: int = COMMON_ROWS) -> DataFrame:
+    """``documents`` and what was ``gathered`` of them -> ``(class, class_id, class_size, n_links, other_id, resemblance, a_in_b, b_in_a)``, a row for each class.
 
     ``class_id`` is the least ``doc_id`` of the class. ``n_links`` counts the other classes that resemble it by ``link`` or more; what follows is
     of the one that does most (of several the one of least ``class_id``, nulls last), and null without any.
     """
-    known = each.filter("class is not null")
-    own = written(known.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
-    able = written(records(known, known.count(), k, link, common, common_rows))
+    known = parts.filter("kind = 0 and class is not null")
+    own = written(known.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.first("count").alias("count")))
+    able = written(records(docs, common_hashes(parts, rows := known.count(), common, common_rows), rows, k, n, link))
     posted = able.select("class", F.explode("prefix").alias("h"))
     least_class = posted.groupBy("h").agg(F.min("class").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("h", "hub")
     met = written(posted.join(least_class, "h").select("hub", "class").distinct())
     blocks = met.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     wide = met.groupBy("class").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # as many as a prefix has hashes
-    wide = able.select("class", "count", "hashes", "ranks").join(wide, "class").join(own.select("class", "class_id"), "class")
+    wide = able.select("class", "hashes", "ranks").join(wide, "class").join(own.select("class", "class_id", "count"), "class")
     dealt = met.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("hub", "class", "block", other.alias("o")).select("hub", "class", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     parts = dealt.join(wide, "class").groupBy("hub", "i", "j").applyInArrow(_links(k, link, square), "class long, links long, resemblance double, other long, other_id long, a_in_b double, b_in_a double")
     order = F.struct((-F.col("resemblance")).alias("r"), F.col("other_id").isNull().alias("last"), "other_id", "other", "a_in_b", "b_in_a")
     sums = parts.groupBy("class").agg(F.sum("links").alias("n_links"), F.min(order).alias("x"))
-    kind = each.schema["doc_id"].dataType
     return own.join(sums, "class", "left").select(
-        "class", "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("x.other_id").cast(kind).alias("other_id"),
+        "class", "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("x.other_id").alias("other_id"),
         F.round(-F.col("x.r"), 6).alias("resemblance"), F.round("x.a_in_b", 6).alias("a_in_b"), F.round("x.b_in_a", 6).alias("b_in_a"),
     )
 
@@ -383,11 +445,13 @@ def fingerprint(docs: DataFrame, k: int = K, n: int = WORDS, link: float = LINK,
     sources, the resemblance of ``name`` and ``other``, and
     how far each is contained in the other. Null, empty and wordless texts have empty
     sketches, count 0 and are of no class; repeated rows repeat; very long texts are read whole; an empty table gives no rows; other columns are
-    ignored, whatever their names. ``how`` is passed to ``classes``; the result doesn't depend on it.
+    ignored, whatever their names. Ids are integers. Texts are read three times, as sketches of all of them would be larger than what
+    is kept of them. ``how`` is passed to ``classes``; the result doesn't depend on it.
     """
-    each = written(sketches(docs, k, n).withColumns({"class": F.when(F.size("sketch") > 0, F.xxhash64("sketch")), "count": distinct_count("sketch", k)}))
-    linked = each.select("doc_id", "class").join(classes(each, k, link, **how), "class", "left")
-    sources = written(merged(each.select(F.col("source").alias("name"), "sketch"), k))
+    parts = gathered(docs, k, n, how.get("common", COMMON), how.get("common_rows", COMMON_ROWS))
+    linked = parts.filter("kind = 0").select("doc_id", "class").join(classes(docs, parts, k, n, link, **how), "class", "left")
+    sources = written(merged(parts.filter("kind = 2").select("name", "sketch"), k))
+    each = sketches(docs, k, n)
     kind = each.schema["doc_id"].dataType
     shape = {
         "level": "string", "doc_id": kind, "other_id": kind, "name": "string", "other": "string", "n_shingles": "double", "resemblance": "double", "a_in_b": "double", "b_in_a": "double",
@@ -398,6 +462,6 @@ def fingerprint(docs: DataFrame, k: int = K, n: int = WORDS, link: float = LINK,
         df = df.withColumn("level", F.lit(level))
         return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()])
 
-    a = each.select("doc_id", F.coalesce("source", F.lit(_NONE)).alias("name"), F.round("count", 3).alias("n_shingles"), "sketch")
+    a = each.select("doc_id", F.coalesce("source", F.lit(_NONE)).alias("name"), F.round(distinct_count("sketch", k), 3).alias("n_shingles"), "sketch")
     b = sources.select("name", F.round(distinct_count("sketch", k), 3).alias("n_shingles"), "sketch")
     return shaped(a, "document").unionByName(shaped(linked, "links")).unionByName(shaped(b, "source")).unionByName(shaped(overlapping(sources, k), "pair"))

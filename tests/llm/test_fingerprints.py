@@ -137,8 +137,7 @@ def test_common_hashes_change_nothing(spark):
     passage = " ".join(f"p{i}" for i in range(80))
     rows = [(i, passage + " " + " ".join(f"x{j}" for j in rng.integers(0, 400, int(rng.integers(1, 60)))), "en", "s", 1) for i in range(150)]
     df = documents(spark, rows).coalesce(1)
-    each = fp.written(fp.sketches(df))
-    assert fp.common_hashes(each, 150).count() >= 50
+    assert fp.common_hashes(fp.gathered(df, fp.K, fp.WORDS, fp.COMMON, fp.COMMON_ROWS), 150).count() >= 50
     got = linked(fp.fingerprint(df))
     assert same(got, links_by_brute_force([(r[0], sorted(all_shingles(r[1]))[: fp.K]) for r in rows])) and sum(r[3] for r in got) > 1000
     assert linked(fp.fingerprint(df, common_rows=1 << 40)) == got

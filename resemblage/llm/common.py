@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -96,29 +95,3 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
-
-
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches in which rows of one key are neighbours.
-
-    The last group of a batch is held back till it is known to be over.
-    """
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(-(keys != keys[-1]).astype(np.int8), 0)) if keys[0] != keys[-1] else 0
-        if held and last == 0:
-            before = held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py()
-            if before != keys[0]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch)
-            continue
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)

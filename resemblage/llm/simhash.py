@@ -10,7 +10,8 @@ searched by brute force. Repetitions are added until the recall wanted is met.
 
 A vector goes to the centres of least partial weight rather than to all below a
 fixed weight, so that each repetition keeps every vector. Spark holds the lists:
-the path of centres is the key of one shuffle.
+the path of centres is the key of one shuffle. A list that is far longer than chance makes it is searched in pairs
+of blocks, all of them, so no task holds more than two blocks and no pair is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import DOCUMENT_COLUMNS, byte_texts, checkpoint, pick, runs, slices
+from .common import DOCUMENT_COLUMNS, byte_texts, checkpoint, pick, slices, written
 from .components import components
 from .words import mix, word_hashes
 
@@ -30,9 +31,11 @@ BITS, LANES = 256, 4
 #: Fingerprints at most so far apart belong together.
 DISTANCE = 52
 #: Pairs exactly DISTANCE apart are found with this probability; closer ones more often.
-RECALL = 0.9
+RECALL = 0.95
 #: Strips of a repetition, centres kept on each, and chance comers that a list may have.
 STRIPS, KEPT, LIST = 2, 2, 1000
+#: Fingerprints of a list that one task searches, at most.
+LONG = 8192
 WORDS = ("f0", "f1", "f2", "f3")
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -98,15 +101,16 @@ def _nearest(bits: np.ndarray, centres: np.ndarray, kept: int) -> np.ndarray:
     return np.argpartition(-near, kept - 1, axis=1)[:, :kept]
 
 
-@lru_cache(maxsize=4)
-def _strips(centres: int, repetitions: int, seed: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each repetition and strip its coordinates and centres."""
-    rng, width = np.random.default_rng(seed), BITS // STRIPS
-    out = []
-    for _ in range(repetitions):
-        order = rng.permutation(BITS)
-        out.append([(order[s * width : (s + 1) * width], (rng.integers(0, 2, (centres, width)) * 2 - 1).astype(np.float32)) for s in range(STRIPS)])
-    return out
+def _strip(rng: np.random.Generator, order: np.ndarray, centres: int) -> tuple[np.ndarray, np.ndarray]:
+    return order, (rng.integers(0, 2, (centres, len(order))) * 2 - 1).astype(np.float32)
+
+
+@lru_cache(maxsize=512)
+def _strips(centres: int, repetition: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each strip of a repetition its coordinates and centres."""
+    rng, width = np.random.default_rng([seed, repetition]), BITS // STRIPS
+    order = rng.permutation(BITS)
+    return [_strip(rng, order[s * width : (s + 1) * width], centres) for s in range(STRIPS)]
 
 
 def _paths(signs: np.ndarray, strips: list[tuple[np.ndarray, np.ndarray]], kept: int) -> np.ndarray:
@@ -127,18 +131,18 @@ def plan(n: int, distance: int = DISTANCE, recall: float = RECALL, seed: int = 7
 
     Centres: so many that a list gets LIST chance comers at most. Repetitions: the
     fewest for which pairs exactly ``distance`` apart share a list with probability
-    ``recall``, as measured on random pairs.
+    ``recall``, as measured on random pairs and the very strips that are used.
     """
     centres = max(KEPT, int(np.ceil(KEPT * (max(n, 1) / LIST) ** (1 / STRIPS))))
-    rng, tries = np.random.default_rng(seed), 1000
+    rng, tries = np.random.default_rng(seed), 2000
     a = rng.integers(0, 2, (tries, BITS)).astype(np.float32) * 2 - 1
     b = a.copy()
     for row in b:
         row[rng.choice(BITS, distance, replace=False)] *= -1
     met, repetitions = np.zeros(tries, bool), 0
     while met.mean() < recall:
+        strips = _strips(centres, repetitions, seed)
         repetitions += 1
-        strips = _strips(centres, 1, seed + repetitions)[0]
         x, y = _paths(a, strips, KEPT), _paths(b, strips, KEPT)
         met |= (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
     return centres, repetitions
@@ -146,14 +150,13 @@ def plan(n: int, distance: int = DISTANCE, recall: float = RECALL, seed: int = 7
 
 def _assign(centres: int, repetitions: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strips = _strips(centres, repetitions, seed)
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
                 f = np.stack([part.column(k).to_numpy() for k in range(LANES)], axis=1)
                 signs, lists = _signs(f), []
                 for r in range(repetitions):
-                    lists.append(_paths(signs, strips[r], KEPT) * repetitions + r)
+                    lists.append(_paths(signs, _strips(centres, r, seed), KEPT) * repetitions + r)
                 lists = np.concatenate(lists, axis=1)
                 times = lists.shape[1]
                 columns = [lists.ravel(), *(np.repeat(f[:, k], times) for k in range(LANES))]
@@ -199,19 +202,78 @@ def spanning(f: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     return edges
 
 
-def _search(distance: int):
+def _words(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([batch.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
+
+
+def _edges_of(rows: pa.Table, distance: int) -> list[np.ndarray]:
+    """The edges within each list of ``rows``, which are in the order of lists."""
+    lists, f = rows.column("list").to_numpy(), _words(rows)
+    node = node_ids(f).view(np.int64)
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]])
+    return [node[a + np.array(pairs)] for a, b in zip(bounds[:-1], bounds[1:]) if (pairs := spanning(f[a:b], distance))]
+
+
+_ROWS = ", ".join(f"{w} long" for w in WORDS)
+
+
+def _search(distance: int, long: int):
+    """Edges of lists up to ``long``, as ``(a, b)``; rows of longer ones go on as ``(list, f0..f3)``."""
+
+    def rest(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        none = [pa.nulls(sum(p.num_rows for p in parts), pa.int64())] * 2
+        table = pa.Table.from_batches(parts)
+        return pa.table([*none, *(table.column(c) for c in ("list", *WORDS))], names=["a", "b", "list", *WORDS]).combine_chunks().to_batches()
+
+    def found(rows: pa.Table) -> list[pa.RecordBatch]:
+        if not (parts := _edges_of(rows, distance)):
+            return []
+        e = _edges(parts)
+        none = pa.nulls(e.num_rows, pa.int64())
+        return [pa.RecordBatch.from_arrays([e.column(0), e.column(1), *[none] * 5], names=["a", "b", "list", *WORDS])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, "list"):
-            lists = table.column("list").to_numpy()
-            f = np.stack([table.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
-            node = node_ids(f).view(np.int64)
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]])
-            found = []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if pairs := spanning(f[a:b], distance):
-                    found.append(node[a + np.array(pairs)])
-            if found:
-                yield _edges(found)
+        held: list[pa.RecordBatch] = []  # of the list that goes on in the next batch
+        size, own, passing = 0, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0).to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]])
+            at = 0
+            if own == lists[0]:  # the list of the batch before goes on
+                at = int(starts[1])
+                held.append(batch.slice(0, at))
+                size += at
+            if held and (at < len(lists) or own != lists[0] or passing or size > long):
+                passing = passing or size > long
+                yield from rest(held) if passing else found(pa.Table.from_batches(held))
+                held, size = [], 0
+            if at == len(lists):
+                continue
+            last = int(starts[-2])
+            inner = starts[(starts >= at) & (starts <= last)]
+            short = np.repeat(np.diff(inner) <= long, np.diff(inner)) if len(inner) > 1 else np.zeros(0, bool)
+            middle = batch.slice(at, last - at)
+            if short.any():
+                yield from found(pa.Table.from_batches([middle]).filter(pa.array(short)))
+            if not short.all():
+                yield from rest(pa.Table.from_batches([middle]).filter(pa.array(~short)).to_batches())
+            held, size, own, passing = [batch.slice(last)], len(lists) - last, lists[last], False
+        if held:
+            passing = passing or size > long
+            yield from rest(held) if passing else found(pa.Table.from_batches(held))
+
+    return run
+
+
+def _crossed(distance: int):
+    """Edges of two blocks of a list taken together."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        f = _words(rows)
+        pairs = spanning(f, distance)
+        return pa.Table.from_batches([_edges([node_ids(f).view(np.int64)[np.array(pairs)] if pairs else np.zeros((0, 2), np.int64)])])
 
     return run
 
@@ -221,12 +283,24 @@ def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
 
-def close_nodes(nodes: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, seed: int = 7) -> DataFrame:
+_ROWS = ", ".join(f"{w} long" for w in WORDS)
+
+
+def close_nodes(nodes: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, seed: int = 7, long: int = LONG) -> DataFrame:
     """Edges ``(a, b)`` of node ids that connect the ``n`` rows of ``nodes(f0..f3)`` as pairs within ``distance`` do."""
     centres, repetitions = plan(n, distance, recall, seed)
-    lists = nodes.select(*WORDS).mapInArrow(_assign(centres, repetitions, seed), "list long, " + ", ".join(f"{w} long" for w in WORDS))
-    lists = lists.repartition("list").sortWithinPartitions("list")
-    return lists.mapInArrow(_search(distance), "a long, b long").distinct()
+    lists = nodes.select(*WORDS).mapInArrow(_assign(centres, repetitions, seed), f"list long, {_ROWS}").repartition("list").sortWithinPartitions("list")
+    found = written(lists.mapInArrow(_search(distance, long), f"a long, b long, list long, {_ROWS}"))
+    edges, rest = found.filter("a is not null").select("a", "b"), found.filter("list is not null").select("list", *WORDS)
+    return (edges if rest.isEmpty() else edges.union(_blocks(rest, distance, long))).distinct()
+
+
+def _blocks(rest: DataFrame, distance: int, long: int) -> DataFrame:
+    """All edges of lists of any length, by pairs of blocks of half of ``long`` rows, about."""
+    sizes = rest.groupBy("list").agg(F.ceil(F.count("*") / (long / 2)).cast("int").alias("blocks"))  # two at least
+    dealt = rest.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64(*WORDS), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("o != block").withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+    return dealt.groupBy("list", "i", "j").applyInArrow(_crossed(distance), "a long, b long")
 
 
 def _grouped(docs: DataFrame, distance: int, recall: float) -> DataFrame:
@@ -247,7 +321,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = R
     Rows of one group are connected by fingerprints within ``distance``; of each
     group the row of least ``doc_id`` is kept (nulls last, and one of repeated
     rows). ``group_id`` is that row's ``doc_id``. Null, empty and wordless texts
-    are groups of their own and kept. An empty table gives no rows.
+    are groups of their own and kept. An empty table gives no rows. Very long texts are read whole; other columns are
+    ignored, whatever their names.
     """
     g = _grouped(docs, distance, recall)
     alone = g.filter("root is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("is_kept"))
@@ -268,6 +343,8 @@ def _order():
 def deduplicate(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:
     """The rows of ``documents`` that ``near_duplicates`` keeps, with its five columns.
 
+    Of rows that repeat each other one stays, but all of those whose texts are null, empty or wordless do. Nulls in any column stay
+    as they are; an empty table gives no rows; further columns are left out.
     The texts move once, to meet the keys that are kept; both the join and the
     choice among repeated rows use that one partitioning.
     """
@@ -283,4 +360,5 @@ def deduplicate(docs: DataFrame, distance: int = DISTANCE, recall: float = RECAL
 
 
 def _key(name: str):
-    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+    """A key that no other value has, null neither."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))

@@ -5,7 +5,8 @@ that is no word byte counts as one gap). Each n-gram has an embedding, found by
 hashing; their mean goes through a linear layer and a softmax. Embeddings and
 layer are trained together by stochastic gradient descent in numpy, on a bounded
 sample of labelled rows. A temperature, fitted on held-out rows, calibrates the
-probabilities, and the threshold for rejection is set on the same rows.
+probabilities, and the threshold for rejection is set on the same rows: the least at which so few of the accepted
+are wrong as is wanted. Copies of a text are held out together, or not at all.
 
 As the layer is linear, the mean of embeddings times the layer is the mean of
 the embeddings' products: at use one table of a row for each bucket suffices.
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import DOCUMENT_COLUMNS, byte_texts, pick, slices
@@ -27,8 +29,8 @@ from .words import _IN_WORD, lowered
 SAMPLE = 400
 BUCKETS, DIMENSIONS, EPOCHS, RATE, SEED = 1 << 16, 16, 5, 0.2, 11
 HELD_OUT = 0.3
-#: Of held-out rows so many may be rejected, and none is where its language has this probability.
-REJECTED, SURE = 0.001, 0.5
+#: Of the held-out rows that are accepted so many may be wrong; at most so many are rejected for that; a language is more probable than all others together.
+ERROR, REJECTED, SURE = 0.02, 0.05, 0.5
 _GAP = 32
 _FOLD = np.where(_IN_WORD == 1, np.arange(256), _GAP).astype(np.uint8)
 _SHIFT = np.uint32(16)
@@ -102,6 +104,27 @@ def _snippet(text: bytes, rng: np.random.Generator) -> bytes:
     return b" ".join(words[a : a + n])
 
 
+def step(e: np.ndarray, w: np.ndarray, bias: np.ndarray, h: np.ndarray, share: np.ndarray, label: int, weight: np.float32, rate: np.float32) -> None:
+    """One step of gradient descent on the loss of a text that has ``share`` of each of the buckets ``h``."""
+    hidden = share @ e[h]
+    p = _softmax(hidden @ w + bias)
+    p[label] -= 1
+    p *= weight
+    back = w @ p
+    w -= rate * np.outer(hidden, p)
+    bias -= rate * np.float32(0.1) * p
+    e[h] -= rate * np.outer(share / (share @ share), back)  # the mean moves by rate * back, however long the text
+
+
+def threshold(confidence: np.ndarray, right: np.ndarray, error: float = ERROR, rejected: float = REJECTED, sure: float = SURE) -> float:
+    """The least confidence at which of the rows that have it or more ``error`` at most are wrong; ``sure`` at least, and for that no more than ``rejected`` of the rows are below."""
+    order = np.argsort(confidence)
+    wrong = np.cumsum(~right[order][::-1])[::-1] / np.arange(len(order), 0, -1)  # of a row and those above it
+    few = np.flatnonzero(wrong <= error)
+    at = min(int(few[0]) if len(few) else len(order) - 1, int(rejected * len(order)))
+    return max(sure, float(confidence[order[at]]) if at else 0.0)
+
+
 def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:
     """Fit on ``(text, language)`` rows; None if there are none. Each row also gives a snippet, as texts may be short."""
     rows = sorted((t, x) for t, x in rows if t and x is not None)
@@ -109,8 +132,8 @@ def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:
         return None
     rng = np.random.default_rng(seed)
     languages = sorted({x for _, x in rows})
-    order = rng.permutation(len(rows))
-    held = set(order[: int(HELD_OUT * len(rows))].tolist()) if len(rows) >= 10 else set()
+    held = {i for i, (t, _) in enumerate(rows) if xxhash.xxh3_64_intdigest(t, seed) % 1000 < 1000 * HELD_OUT} if len(rows) >= 10 else set()
+    held = held if len(held) < len(rows) else set()
     label = {x: i for i, x in enumerate(languages)}
     examples = {False: ([], []), True: ([], [])}
     for i, (text, x) in enumerate(rows):
@@ -130,14 +153,7 @@ def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:
             done += 1
             if not len(h):
                 continue
-            hidden = share @ e[h]
-            p = _softmax(hidden @ w + bias)
-            p[y[i]] -= 1
-            p *= np.float32(min(weight[y[i]], 10.0))
-            back = w @ p
-            w -= rate * np.outer(hidden, p)
-            bias -= rate * np.float32(0.1) * p
-            e[h] -= rate * np.outer(share / (share @ share), back)  # the mean moves by rate * back, however long the text
+            step(e, w, bias, h, share, y[i], np.float32(min(weight[y[i]], 10.0)), rate)
     model = Model(languages, e @ w, bias.astype(np.float64))
     if held:
         texts, y = examples[True][0], np.array(examples[True][1])
@@ -147,7 +163,8 @@ def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:
             grid = np.geomspace(0.05, 20, 121)
             model.temperature = float(min(grid, key=lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()))
             best = _softmax(z / model.temperature).max(axis=1)
-            model.threshold = float(min(SURE, np.quantile(best, REJECTED)))
+            p = _softmax(z / model.temperature)
+            model.threshold = threshold(p.max(axis=1), p.argmax(axis=1) == y)
     return model
 
 
@@ -203,7 +220,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Without a model one is trained on the rows' own ``lang``. Texts that are null,
     empty or have no word bytes get null and are rejected, as are texts whose best
     language is less probable than the threshold. Where no row is labelled nothing
-    can be learnt: all get null and none is rejected. Repeated rows are judged alike.
+    can be learnt: all get null and none is rejected. Repeated rows are judged alike. Texts are read whole, however long; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     model = train(docs) if model is None else model
     rows = _judged(pick(docs, "doc_id", "text"), model)
@@ -211,7 +229,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``documents`` that are not rejected; ``lang`` becomes the language found."""
+    """The rows of ``documents`` that are not rejected, with its five columns; ``lang`` becomes the language found.
+
+    Rows that repeat are kept or rejected alike. Null, empty and wordless texts are rejected, unless no row is labelled: then all
+    stay as they are. Nulls of other columns stay; an empty table gives no rows; further columns are left out.
+    """
     model = train(docs) if model is None else model
     rows = _judged(pick(docs, *DOCUMENT_COLUMNS), model).filter("not is_rejected")
     return rows.withColumn("lang", F.coalesce("language", "lang")).select(*DOCUMENT_COLUMNS)

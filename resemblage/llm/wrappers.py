@@ -8,7 +8,7 @@ alike is template; what varies is content, whatever recurs beside it in the slot
 Copies of a page under several addresses are one page in that.
 
 Every task folds what it reads into distinct page structures, so only those move;
-a host's structures are folded in two rounds, and no task holds a large host's
+a host's structures are folded in rounds, and no task holds a large host's
 pages. While the wrappers of all hosts are small together they are broadcast, and
 pages don't move at all; beyond that pages meet their host's wrapper in chunks.
 """
@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import pick, written
 
-#: Pages of a chunk, about; wrappers of so many bytes together are broadcast; structures of a host are folded in so many parts first.
-CHUNK, BROADCAST, PARTS = 256, 32_000_000, 64
-#: Elements deeper than this don't hold others: what follows them is beside them.
+#: Pages of a chunk, about; wrappers of so many bytes together are broadcast; so many structures of a host, about, are folded at a time.
+CHUNK, BROADCAST, FOLD = 256, 32_000_000, 1000
+#: Elements deeper than this are no nodes that hold others: their texts and elements are those of the one above, till it ends.
 DEPTH = 100
 #: A value is template if this share of a host's distinct contents, REPEATS of them at least, stand with it in the slot.
 SHARE, REPEATS = 0.5, 2
@@ -57,6 +57,7 @@ class Page:
         self.tags, self.parents, self.texts = ["#root"], [-1], []
         tags, parents, texts = self.tags, self.parents, self.texts
         stack, at = [0], 0
+        deep: dict[str, int] = {}  # elements that are open but not on the stack
         for m in _TOKEN.finditer(source):
             a = m.start()
             if a > at:
@@ -69,9 +70,13 @@ class Page:
                 continue
             name = name.lower()
             if m.group(2):
+                if deep.get(name):
+                    deep[name] -= 1
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == name:
                         del stack[k:]
+                        deep.clear()
                         break
                     if tags[stack[k]] in _WALL and name not in _WALL:
                         break  # an end tag doesn't reach out of its container
@@ -80,15 +85,18 @@ class Page:
             if closes:
                 for k in range(len(stack) - 1, 0, -1):
                     open_ = tags[stack[k]]
-                    if open_ in closes:
+                    if open_ in closes and not any(deep.values()):
                         del stack[k:]
                         break
                     if open_ in _WALL:
                         break
             tags.append(name)
             parents.append(stack[-1])
-            if name not in _VOID and not m.group(4).endswith("/") and len(stack) < DEPTH:
-                stack.append(len(tags) - 1)
+            if name not in _VOID and not m.group(4).endswith("/"):
+                if len(stack) < DEPTH:
+                    stack.append(len(tags) - 1)
+                else:
+                    deep[name] = deep.get(name, 0) + 1
         if at < len(source) and not source[at:].isspace():
             texts.append((stack[-1], source[at:]))
 
@@ -391,12 +399,17 @@ def _host() -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.|\.+$", "")
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """``(page_id, host, html)`` -> ``(host, tree, pages)``, a row for each host."""
-    trees = rows.mapInArrow(_structures, "host string, tree string, pages long").groupBy("host", "tree").agg(F.sum("pages").alias("pages"))
-    parts = trees.withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(PARTS)))
+def templates(rows: DataFrame, fold: int = FOLD) -> DataFrame:
+    """``(page_id, host, html)`` -> ``(host, tree, pages)``, a row for each host. A host's structures are folded in as many rounds as they need, about ``fold`` at a time."""
     schema = "host string, tree string, pages long"
-    return parts.groupBy("host", "part").applyInArrow(_merge, schema).groupBy("host").applyInArrow(_merge, schema)
+    trees = written(rows.mapInArrow(_structures, schema).groupBy("host", "tree").agg(F.sum("pages").alias("pages")))
+    while True:
+        sizes = trees.groupBy("host").agg(F.ceil(F.count("*") / fold).alias("parts"))
+        most = sizes.agg(F.max("parts")).first()[0] or 0
+        parts = trees.join(sizes, "host").select("host", "tree", "pages", F.pmod(F.xxhash64("tree"), F.col("parts")).alias("part"))
+        trees = written(parts.groupBy("host", "part").applyInArrow(_merge, schema))
+        if most <= 1:
+            return trees
 
 
 def extract(pages: DataFrame, share: float = SHARE, repeats: int = REPEATS, chunk: int = CHUNK, broadcast: int = BROADCAST) -> DataFrame:
@@ -407,11 +420,13 @@ def extract(pages: DataFrame, share: float = SHARE, repeats: int = REPEATS, chun
     page nothing recurs, so all its text is content. A null page gives null, an empty one an
     empty text. Pages whose URL has no host are those of a host "". Pages of one content, such as repeated
     rows, count once: what only they share doesn't recur. The result doesn't depend on ``chunk`` and ``broadcast``.
+    Very long pages are read whole, of very deep ones all text (what is deeper than DEPTH as part of the element there); an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     rows = pick(pages, "page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
     rows = rows.select("page_id", _host().alias("host"), "html")
-    found = written(templates(rows))
+    found = templates(rows)
 
     def met(wrappers: DataFrame, counting: bool, schema: str) -> DataFrame:
         size = wrappers.agg(F.sum(200 + F.length("tree") + 100 * F.greatest(F.coalesce(F.size("constant"), F.lit(0)), F.lit(0)))).first()[0] or 0

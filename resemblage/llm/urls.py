@@ -1,15 +1,17 @@
 """URL filter: a weighted vocabulary of strict and soft terms.
 
-One Aho-Corasick pass over the lower-case URL (scheme and "www." apart) finds the
+One Aho-Corasick pass over the whole URL in lower case finds the
 terms; one counts only where no letter or digit stands beside it. A URL is
 rejected on one strict term, or when the weights of its distinct soft terms
-reach a limit that several of them are needed for.
+reach a limit that several of them are needed for. The vocabulary is a table of terms: the file
+beside this module, another one, or a DataFrame.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
@@ -17,18 +19,44 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import pick
 
-#: One is enough to reject.
-STRICT = {
-    "casino": 1.0, "casino-win": 1.0, "porn": 1.0, "xxx": 1.0, "sex-cam": 1.0, "sexcam": 1.0, "hentai": 1.0, "escort": 1.0, "viagra": 1.0, "cialis": 1.0, "cheap-pills": 1.0,
-    "free-bets": 1.0, "ads-track": 1.0, "adtrack": 1.0, "warez": 1.0, "torrent": 1.0, "keygen": 1.0, "payday-loan": 1.0, "phishing": 1.0, "malware": 1.0,
-}
-#: Several distinct ones are needed, until their weights reach LIMIT.
-SOFT = {
-    "bet": 0.5, "bets": 0.5, "betting": 0.5, "poker": 0.5, "slots": 0.5, "jackpot": 0.5, "gambling": 0.5, "adult": 0.5, "sex": 0.5, "nude": 0.5, "cam": 0.34, "cams": 0.34, "dating": 0.5, "pills": 0.5,
-    "pharmacy": 0.5, "cheap": 0.34, "free": 0.34, "win": 0.34, "bonus": 0.34, "deal": 0.34, "deals": 0.34, "promo": 0.34, "coupon": 0.34, "click": 0.34, "ads": 0.5, "track": 0.34, "tracker": 0.5,
-    "banner": 0.5, "popup": 0.5, "crack": 0.5, "loan": 0.34, "loans": 0.34, "crypto": 0.34, "utm_source": 0.1,
-}
+#: The vocabulary in use if no other is given: general terms, with the weights of soft ones.
+TERMS = Path(__file__).with_name("url_terms.tsv")
+#: A vocabulary has so many terms at most, as every task has all of them.
+MOST_TERMS = 1_000_000
+#: Distinct soft terms, two at least, reject once their weights reach it.
 LIMIT = 1.0
+Vocabulary = tuple[frozenset[str], dict[str, float]]
+
+
+def _vocabulary(rows) -> Vocabulary:
+    """Strict terms, and soft ones with their weights, from rows ``(term, kind, weight)``; in lower case, empty terms left out, of repeated ones the greatest weight."""
+    strict, soft = set(), {}
+    for term, kind, weight in rows:
+        term = (term or "").strip().lower()
+        if kind not in ("strict", "soft"):
+            raise ValueError(f"a term is strict or soft, not {kind!r}")
+        if term and kind == "strict":
+            strict.add(term)
+        elif term:
+            soft[term] = max(soft.get(term, 0.0), float(weight))
+    return frozenset(strict), soft
+
+
+def read_terms(path: str | Path = TERMS) -> Vocabulary:
+    """A vocabulary from a file of tab-separated lines "term, kind, weight" below one of their names; strict terms need no weight."""
+    with open(path, encoding="utf-8") as f:
+        next(f)
+        return _vocabulary(line.rstrip("\n").split("\t") for line in f if line.strip())
+
+
+def terms_of(table: DataFrame, most: int = MOST_TERMS) -> Vocabulary:
+    """A vocabulary from a table ``(term, kind, weight)`` of ``most`` rows at most; a larger one is an error."""
+    rows = pick(table, "term", "kind", "weight").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return _vocabulary(rows)
+
+
 _BESIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -55,7 +83,7 @@ def terms(url: str, words: tuple[str, ...]) -> dict[str, int]:
     return counts
 
 
-def _judge(strict: dict[str, float], soft: dict[str, float], limit: float):
+def _judge(strict: frozenset[str], soft: dict[str, float], limit: float):
     words = tuple(sorted({*strict, *soft}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,17 +103,17 @@ def _judge(strict: dict[str, float], soft: dict[str, float], limit: float):
     return run
 
 
-def judge(pages: DataFrame, strict: dict[str, float] = STRICT, soft: dict[str, float] = SOFT, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, vocabulary: Vocabulary | None = None, limit: float = LIMIT) -> DataFrame:
     """``pages`` -> ``(page_id, url, strict_hits, soft_terms, soft_weight, terms, is_rejected)`` for each row.
 
     ``strict_hits`` counts every place, ``soft_terms`` and ``soft_weight`` distinct
     soft terms, each once. Null and empty URLs have no hits and are kept. A term of both
-    lists counts in both. Repeated rows are judged alike. Only the two columns are read.
+    kinds counts in both. Repeated rows are judged alike; very long URLs are read whole; an empty table gives no rows; only
+    the two columns are read, whatever others there are.
     """
-    clean = [{k.lower(): float(v) for k, v in x.items() if k} for x in (strict, soft)]
     rows = pick(pages, "page_id", "url")
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_judge(*clean, limit), f"page_id {kind}, url string, strict_hits long, soft_terms long, soft_weight double, terms string, is_rejected boolean")
+    return rows.mapInArrow(_judge(*(vocabulary or read_terms()), limit), f"page_id {kind}, url string, strict_hits long, soft_terms long, soft_weight double, terms string, is_rejected boolean")
 
 
 def keep(pages: DataFrame, **how) -> DataFrame:
@@ -94,7 +122,8 @@ def keep(pages: DataFrame, **how) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = [(w, w in STRICT, SOFT.get(w)) for w in sorted({*STRICT, *SOFT})]
+    hard, mild = read_terms()
+    rows = [(w, w in hard, mild.get(w)) for w in sorted({*hard, *mild})]
     values = ", ".join(f"('{w}', {str(s).lower()}, {'NULL' if x is None else x}::DOUBLE)" for w, s, x in rows)
     # Beside a term there may be one character that two hits share, so the text's such characters are doubled before hits are counted.
     return f"""

@@ -218,7 +218,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     ``is_exact`` tells that decoding the ids gives the text's very bytes back. A
     null text has nulls, an empty one no ids. Special tokens' strings in a text are
-    ordinary text. Repeated rows give repeated results.
+    ordinary text. Repeated rows give repeated results; an empty table gives no rows. Texts are read whole, in time linear in
+    their length; other columns are ignored, whatever their names.
     """
     rows = pick(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -226,6 +227,17 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return rows.mapInArrow(_encode(vocabulary, _shared(docs.sparkSession, vocabulary)), schema)
 
 
+def token_count(spark: SparkSession, vocabulary: str = VOCABULARY):
+    """A function from a column of texts to a column of how many ids each has, null for null; for ``chat.format_chats``."""
+    shared = _shared(spark, vocabulary)
+
+    def counts(texts: pa.Array) -> pa.Array:
+        encoder = _encoder(vocabulary, shared)
+        return pa.array([None if t is None else len(encoder.encode_bytes(t)) // 4 for t in texts.to_pylist()], pa.int64())
+
+    return F.arrow_udf(counts, "long")
+
+
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value

@@ -60,7 +60,8 @@ def format_chats(messages: DataFrame, count=text_tokens) -> DataFrame:
     becomes ``<|kind_number|>``, numbered through the conversation, and a struct
     ``(number, kind, ref, tokens)`` of ``attachments``. "<|" in a text becomes "&lt;|". Null text is
     empty, a null role "unknown", and rows whose ``conv_id`` is null are one conversation; repeated rows
-    are messages of their own. ``n_tokens`` is text, attachments and the markers of each message together.
+    are messages of their own. Very long texts are read whole; no rows give none; other columns are ignored, whatever their names. ``count`` is what
+    a text's tokens are counted with; ``bpe.token_count`` counts those of a vocabulary. ``n_tokens`` is text, attachments and the markers of each message together.
     """
     own = Window.partitionBy("conv_id")
     rows = pick(messages, "conv_id", "turn", "role", "text").withColumn("role", F.coalesce("role", F.lit("unknown")))
@@ -92,8 +93,26 @@ def as_text(chats: DataFrame) -> DataFrame:
     return chats.withColumn("attachments", F.array_join(line, "\n"))
 
 
-SQL = f"""
-WITH r AS (SELECT conv_id, coalesce(role, 'unknown') AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), text NULLS FIRST) AS m FROM conversations),
+def typed(messages: DataFrame) -> DataFrame:
+    """``conversations`` with the text of each message as typed parts: the text, what goes with its place, and the role as a text again."""
+    rows = pick(messages, "conv_id", "turn", "role", "text")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in PART.fields}
+
+    def part(**given: Column) -> Column:
+        return F.struct(*[given.get(n, x).cast(x_type).alias(n) for (n, x), x_type in zip(none.items(), [f.dataType for f in PART.fields])])
+
+    c, t, name = F.col("conv_id"), F.col("turn"), F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    image = part(type=F.lit("image"), url=F.concat(name, F.lit(".png")), width=c % 700, height=t * 100)
+    audio = part(type=F.lit("audio"), url=F.concat(name, F.lit(".wav")), seconds=(c % 100) / 8)
+    document = part(type=F.lit("document"), url=F.concat(name, F.lit(".pdf")), pages=c % 7)
+    more = F.when(c % 4 == 0, F.array(image)).when(c % 4 == 1, F.array(audio, image)).when(c % 4 == 2, F.array(document, document, audio)).otherwise(F.array(part(type=F.lit("text"), text=F.lit("<|end|>"))))
+    parts = F.concat(F.array(part(type=F.lit("text"), text=F.col("text"))), more, F.array(part(type=F.lit("text"), text=F.col("role"))))
+    return rows.withColumn("text", F.to_json(parts))
+
+
+def _sql(conversations: str) -> str:
+    return f"""
+WITH r AS (SELECT conv_id, coalesce(role, 'unknown') AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), text NULLS FIRST) AS m FROM {conversations}),
 j AS (SELECT *, CASE WHEN trim(text) LIKE '[%' AND json_valid(text) THEN TRY(from_json(text,
      '[{{"type":"VARCHAR","text":"VARCHAR","url":"VARCHAR","width":"BIGINT","height":"BIGINT","seconds":"DOUBLE","pages":"BIGINT"}}]')) END AS given FROM r),
 k AS (SELECT conv_id, role, m, CASE WHEN len(given) > 0 AND len(list_filter(given, lambda x: coalesce(x.type IN {KINDS}, false))) = len(given) THEN given
@@ -112,3 +131,17 @@ g AS (SELECT conv_id, max(m) AS n_messages, string_agg(piece, '' ORDER BY m, p)
      coalesce(sum(tokens) FILTER (part.type = 'text'), 0)::BIGINT AS text_tokens, coalesce(sum(tokens) FILTER (part.type <> 'text'), 0)::BIGINT AS attachment_tokens FROM w GROUP BY conv_id)
 SELECT *, text_tokens + attachment_tokens + {MARKERS} * n_messages AS n_tokens FROM g
 """
+
+
+_MORE = {
+    0: "[json_object('type', 'image', 'url', name || '.png', 'width', conv_id % 700, 'height', turn * 100)]",
+    1: "[json_object('type', 'audio', 'url', name || '.wav', 'seconds', (conv_id % 100) / 8), json_object('type', 'image', 'url', name || '.png', 'width', conv_id % 700, 'height', turn * 100)]",
+    2: "[json_object('type', 'document', 'url', name || '.pdf', 'pages', conv_id % 7), json_object('type', 'document', 'url', name || '.pdf', 'pages', conv_id % 7), json_object('type', 'audio', 'url', name || '.wav', 'seconds', (conv_id % 100) / 8)]",
+    3: "[json_object('type', 'text', 'text', '<|end|>')]",
+}
+_CASES = " ".join(f"WHEN {k} THEN {v}" for k, v in _MORE.items())
+SQL = _sql("conversations")
+#: The same for ``typed`` conversations.
+TYPED_SQL = _sql(
+    f"(SELECT conv_id, turn, role, to_json([json_object('type', 'text', 'text', text)] || CASE conv_id % 4 {_CASES} END || [json_object('type', 'text', 'text', role)])::VARCHAR AS text FROM (SELECT *, conv_id || '/' || turn AS name FROM conversations))"
+)

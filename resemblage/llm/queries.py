@@ -48,6 +48,17 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.as_text(chat.format_chats(table(spark, sf_dir, "conversations")))
 
 
+def typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one text, its messages made of typed parts of all kinds."""
+    return chat.as_text(chat.format_chats(chat.typed(table(spark, sf_dir, "conversations"))))
+
+
+def bpe_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of typed parts with the tokens of the vocabulary counted."""
+    messages = table(spark, sf_dir, "conversations")
+    return chat.as_text(chat.format_chats(chat.typed(messages), bpe.token_count(spark)))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, repeated to their sources' weights and shuffled."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -58,5 +69,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_langid, op4_fingerprints, op5_neighbours, op6_urls, op7_html, op8_chat, op9_mixing, op10_pii)}
-ORACLES: dict[str, str] = {"op6_urls": urls.SQL, "op8_chat": chat.SQL, "op9_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_langid, op4_fingerprints, op5_neighbours, op6_urls, op7_html, op8_chat, op9_mixing, op10_pii, typed_chat, bpe_chat)}
+ORACLES: dict[str, str] = {"op6_urls": urls.SQL, "op8_chat": chat.SQL, "typed_chat": chat.TYPED_SQL, "op9_mixing": mixing.SQL}

@@ -3,7 +3,7 @@ import json
 import pytest
 from fixtures import DATA, same_as_sql
 
-from resemblage.llm import chat
+from resemblage.llm import bpe, chat
 
 PARTS = [{"type": "text", "text": "see "}, {"type": "image", "url": "i.png", "width": 57, "height": 28}, {"type": "audio", "url": "a.wav", "seconds": 1.01}, {"type": "text", "text": " and <|user|>"}, {"type": "document", "url": "d.pdf", "pages": 3}]
 ROWS = [
@@ -41,5 +41,18 @@ def test_equals_sql(spark):
     same_as_sql(chat.as_text(chat.format_chats(spark.read.parquet(f"{DATA}/conversations.parquet"))), chat.SQL, conversations=f"{DATA}/conversations.parquet")
 
 
+def test_typed_parts_equal_sql(spark):
+    got = chat.as_text(chat.format_chats(chat.typed(spark.read.parquet(f"{DATA}/conversations.parquet"))))
+    assert got.filter("attachment_tokens > 0").count() > 0.5 * got.count()
+    same_as_sql(got, chat.TYPED_SQL, conversations=f"{DATA}/conversations.parquet")
+
+
+def test_tokens_of_a_vocabulary(spark):
+    encoder = bpe.Encoder(bpe.read_vocabulary())
+    got = {r["conv_id"]: r for r in chat.format_chats(frame(spark), bpe.token_count(spark)).collect()}
+    assert got[1]["text_tokens"] == sum(len(encoder.encode(t)) for t in ("Hi", "Fine, thanks!", "see ", " and <|user|>"))
+    assert got[4]["text_tokens"] == len(encoder.encode("long " * 60_000)) and got[2]["text_tokens"] == 1 and got[1]["attachment_tokens"] == 3 + 26 + 1728 + 144
+
+
 def test_empty(spark):
     assert chat.format_chats(frame(spark, [])).count() == 0

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.compare import listed, role
+from ..session import written
 
 #: Names shorter than this, in bytes, are not looked for in texts.
 LEAST_NAME = 4
-#: Bytes of all names that may be broadcast.
+#: Bytes of names that are broadcast and looked for at once.
 BROADCAST_NAMES = 16_000_000
 
 
@@ -22,17 +24,23 @@ def exact_edges(units: DataFrame) -> DataFrame:
     return calls.join(units.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi").select("callee", "caller", "caller_ord")
 
 
+@lru_cache(maxsize=2)
+def _automaton(shared) -> ahocorasick.Automaton:
+    """The names of a broadcast as an automaton, made once in a worker."""
+    automaton = ahocorasick.Automaton()
+    for name in shared.value:
+        automaton.add_word(name, name)
+    automaton.make_automaton()
+    return automaton
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for name in shared.value:
-            automaton.add_word(name, name)
-        if shared.value:
-            automaton.make_automaton()
+        automaton = _automaton(shared)
         for batch in batches:
             found: list[tuple[str, str, int]] = []
             for caller, ord_, body in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                names = {name for _, name in automaton.iter(body)} if shared.value and body else set()
+                names = {name for _, name in automaton.iter(body)} if body else set()
                 found += [(name, caller, ord_) for name in sorted(names) if name != caller]
             columns = [[f[k] for f in found] for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["callee", "caller", "caller_ord"])
@@ -40,19 +48,27 @@ def _scan(shared):
     return run
 
 
+_EDGE = "callee string, caller string, caller_ord long"
+
+
 def text_edges(units: DataFrame, names: DataFrame | None = None, broadcast: int = BROADCAST_NAMES) -> DataFrame:
     """Edges of units without callees: each other name of enough bytes that stands in the body.
 
-    Up to ``broadcast`` bytes of names go to all tasks, which look for all of them in one pass over a body;
-    beyond that bodies and names are joined by their texts. The result is the same.
+    Names go to all tasks, ``broadcast`` bytes of them at a time, about, and each body is passed over once for each
+    such part. The result doesn't depend on how many parts there are.
     """
+    spark = units.sparkSession
     names = units.select(F.col("name").alias("callee")) if names is None else names.select("callee")
-    names = names.filter(F.octet_length("callee") >= LEAST_NAME).distinct()
+    names = written(names.filter(F.octet_length("callee") >= LEAST_NAME).distinct())
     scanned = units.filter(F.size(listed(F.col("callees"))) == 0).select(F.col("name").alias("caller"), F.col("ord").alias("caller_ord"), "body").filter("caller is not null and body is not null")
-    if (names.agg(F.sum(F.octet_length("callee"))).first()[0] or 0) <= broadcast:
-        shared = units.sparkSession.sparkContext.broadcast([r["callee"] for r in names.toLocalIterator()])
-        return scanned.mapInArrow(_scan(shared), "callee string, caller string, caller_ord long")
-    return scanned.join(names, F.contains("body", "callee") & (F.col("caller") != F.col("callee"))).select("callee", "caller", "caller_ord")
+    parts = -(-(names.agg(F.sum(F.octet_length("callee"))).first()[0] or 0) // broadcast)
+    found = spark.createDataFrame([], _EDGE)
+    for i in range(parts):
+        own = names.filter(F.pmod(F.xxhash64("callee"), F.lit(parts)) == i)
+        if shared := [r["callee"] for r in own.toLocalIterator()]:
+            edges_ = scanned.mapInArrow(_scan(spark.sparkContext.broadcast(shared)), _EDGE)
+            found = found.unionByName(edges_) if i else edges_
+    return found
 
 
 def edges(units: DataFrame) -> DataFrame:
@@ -81,9 +97,12 @@ def _neighbours(docs: DataFrame, column: str, info: DataFrame, prefix: str) -> D
     """``(key, <prefix>_patterns, <prefix>_packages)`` over the units that a list names."""
     near = docs.select("key", F.explode(column).alias("neighbour"))
     met = near.join(info.withColumnRenamed("name", "neighbour"), "neighbour")
-    packages = F.sort_array(F.collect_set(F.when(F.col("package") != "", F.col("package"))))
-    patterns = F.sort_array(F.array_distinct(F.flatten(F.collect_list(listed(F.col("patterns"))))))
-    return met.groupBy("key").agg(patterns.alias(f"{prefix}_patterns"), packages.alias(f"{prefix}_packages"))
+    # each value once before any list is made, so that a list is no longer than there are tags, or packages
+    package = F.when(F.coalesce(F.col("package"), F.lit("")) != "", F.array(F.struct(F.lit(False).alias("tag"), F.col("package").alias("v")))).otherwise(F.array().cast("array<struct<tag: boolean, v: string>>"))
+    values = F.concat(F.transform(listed(F.col("patterns")), lambda p: F.struct(F.lit(True).alias("tag"), p.alias("v"))), package)
+    once = met.select("key", F.explode(values).alias("x")).select("key", "x.tag", "x.v").distinct()
+    lists = {name: F.sort_array(F.collect_list(F.when(F.col("tag") == tag, F.col("v")))).alias(f"{prefix}_{name}") for name, tag in (("patterns", True), ("packages", False))}
+    return once.groupBy("key").agg(*lists.values())
 
 
 def concept_docs(units: DataFrame, graph: DataFrame | None = None) -> DataFrame:

@@ -183,9 +183,11 @@ _REASONS = "array_to_string(list_filter([" + ", ".join(
     f"CASE WHEN {_SAME['package']} THEN 'same package' END", f"CASE WHEN {_SAME['visibility']} THEN 'same visibility' END", f"CASE WHEN {_SAME['receiver']} THEN 'same receiver type: ' || CASE WHEN a.receiver_type = '' THEN 'plain functions' ELSE a.receiver_type END END",
     _reason("caller_packages", "'called from same packages: '"), _reason("callee_packages", "'call into same packages: '")]
 ) + "], lambda x: x IS NOT NULL), '; ')"
-_COMPARED = f"""{UNITS_SQL}, {DOCS_SQL}, best AS (SELECT * FROM ({_COSINES})),
-compared AS (SELECT a_ord, b_ord, score, least(1.0, {_SCORE}) AS overlap, least(1.0, {_SCORE}) >= 0.4 AND {_SIGNALS} >= 2 AS merge_worthy, {_REASONS} AS reasons
-FROM best JOIN docs a ON a.ord = a_ord JOIN docs b ON b.ord = b_ord)"""
+_EVIDENCE = f"""SELECT a_ord, b_ord, score, least(1.0, {_SCORE}) AS overlap, least(1.0, {_SCORE}) >= 0.4 AND {_SIGNALS} >= 2 AS merge_worthy, {_REASONS} AS reasons
+FROM best JOIN docs a ON a.ord = a_ord JOIN docs b ON b.ord = b_ord"""
+_COMPARED = f"{UNITS_SQL}, {DOCS_SQL}, best AS (SELECT * FROM ({_COSINES})), compared AS ({_EVIDENCE})"
+#: The pairs that are left of the first by score.
+_TOP_COMPARED = f"{UNITS_SQL}, {DOCS_SQL}, best AS (SELECT * FROM {_BEST} q WHERE a_ord IN (SELECT ord FROM units) AND b_ord IN (SELECT ord FROM units)), compared AS ({_EVIDENCE})"
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +208,15 @@ def struct_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.struct_min(_compared(spark, sf_dir), 0.35).select("a_ord", "b_ord", F.round("evidence.overlap_score", 6).alias("overlap"))
 
 
+@query(_TOP_COMPARED + " SELECT a_ord, b_ord, round(overlap, 6) AS overlap FROM compared WHERE overlap >= 0.35")
+def struct_min_of_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the top pairs those of enough overlap: fewer than asked for, as the filter comes after the top-N."""
+    own = _units(spark, sf_dir)
+    pairs = evidence.with_units(similarity.find_similar(vectors(spark, sf_dir), THRESHOLD, TOP), own)
+    found = evidence.struct_min(evidence.with_evidence(pairs, callgraph.concept_docs(own)), 0.35)
+    return found.select("a_ord", "b_ord", F.round("evidence.overlap_score", 6).alias("overlap"))
+
+
 @query(UNITS_SQL + "," + DOCS_SQL + ", r AS (SELECT name, len(callers) AS i, len(callees) AS o, role FROM docs) SELECT name, i AS callers, o AS callees, role FROM r")
 def fan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fan-in, fan-out and the role they give."""
@@ -268,6 +279,27 @@ def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embed(texts, embedding.HashEmbedder())[1].select("cache_key")
 
 
+#: Texts' words counted by their hashes, as ``HashEmbedder`` does. All texts of the units are ASCII.
+_EMBEDDED = f"""d AS (SELECT ord, {_TEXT_SQL} AS text FROM docs),
+words AS (SELECT text, unnest(regexp_extract_all(lower(substr(text, 1, {embedding.MOST_BYTES})), '[a-z0-9_]+')) AS w FROM (SELECT DISTINCT text FROM d)),
+signed AS (SELECT text, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS k, sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END) AS n FROM words GROUP BY 1, 2),
+grid AS (SELECT text, unnest(range(64)) AS k FROM (SELECT DISTINCT text FROM d)),
+vectors AS (SELECT text, list(coalesce(n, 0)::DOUBLE ORDER BY k) AS v FROM grid LEFT JOIN signed USING (text, k) GROUP BY 1),
+embedded AS (SELECT ord, v, sqrt(list_dot_product(v, v)) AS norm FROM d JOIN vectors USING (text))"""
+
+
+@query(UNITS_SQL + "," + DOCS_SQL + "," + _EMBEDDED + " SELECT ord, CASE WHEN ord % 2 = 0 THEN 'cached' ELSE array_to_string(list_transform(v, lambda x: x::INT), ',') END AS vector FROM embedded")
+def warm_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all units where the cache has those of even ``ord``, which it marks: hits come from it, all else is embedded."""
+    texts = written(callgraph.concept_docs(_units(spark, sf_dir)).select("ord", text.concept_text().alias("text")))
+    model = embedding.HashEmbedder()
+    raw = text.truncate_bytes("text", embedding.MOST_BYTES)
+    cache = texts.filter("ord % 2 = 0").select(text.cache_key(F.lit(model.model), model.num_ctx, raw).alias("cache_key"), F.array(F.lit(7.5)).alias("embedding")).distinct()
+    found = embedding.embed(texts, model, cache)[0]
+    shown = F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")
+    return found.select("ord", F.when(F.col("embedding")[0] == 7.5, F.lit("cached")).otherwise(shown).alias("vector"))
+
+
 class _Echo:
     """Stands in for a chat service: the prompt's first line."""
 
@@ -280,22 +312,64 @@ def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyse(units(spark, sf_dir), settings, embedding.HashEmbedder(), chat=_Echo()).pairs
 
 
-@query()
+_ANALYSED = f"""{UNITS_SQL}, {DOCS_SQL}, {_EMBEDDED},
+scores AS (SELECT a.ord AS a_ord, b.ord AS b_ord, list_dot_product(a.v, b.v) / (a.norm * b.norm) AS score FROM embedded a JOIN embedded b ON a.ord < b.ord AND a.norm > 0 AND b.norm > 0),
+best AS (SELECT * FROM scores WHERE score >= 0.85 ORDER BY score DESC, a_ord, b_ord LIMIT {TOP}), compared AS ({_EVIDENCE}),
+pairs AS (SELECT row_number() OVER (ORDER BY score DESC, a_ord, b_ord)::INT AS rank, *, printf('You review code. An embedding finds these two functions similar (score %.4f).', score) AS explanation FROM compared)"""
+
+
+@query(_ANALYSED + " SELECT rank, a_ord, b_ord, round(score, 6) AS score, round(overlap, 6) AS overlap, explanation, NULL::VARCHAR AS warning FROM pairs")
 def explained_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis of the units, embedded by hashing and explained by an echo."""
     return _analysed(spark, sf_dir).select("rank", "a_ord", "b_ord", F.round("score", 6).alias("score"), F.round("evidence.overlap_score", 6).alias("overlap"), "explanation", "warning")
 
 
-@query()
+def _unit_text(u: str) -> str:
+    """The lines of a unit in the text report."""
+    label = f"CASE WHEN coalesce({u}.package, '') <> '' THEN {u}.package || '.' || {u}.name ELSE {u}.name END"
+    return f"""['  {u.upper()}  ' || rpad({u}.file || ':' || {u}.start_line, 60, ' ') || '  ' || {label}, '       sig: ' || {u}.signature]
+    || CASE WHEN len({u}.patterns) > 0 THEN ['      tags: ' || array_to_string({u}.patterns, ', ')] ELSE [] END"""
+
+
+def _unit_row(u: str) -> str:
+    label = f"CASE WHEN coalesce({u}.package, '') <> '' THEN {u}.package || '.' || {u}.name ELSE {u}.name END"
+    tags_ = f"CASE WHEN len({u}.patterns) > 0 THEN array_to_string({u}.patterns, ', ') ELSE '—' END"
+    return f"'| **{u.upper()}** | `' || {u}.file || ':' || {u}.start_line || '` | `' || replace({label}, '|', '\\|') || '` | `' || replace({u}.signature, '|', '\\|') || '` | ' || {tags_} || ' |'"
+
+
+_REASON_LIST = "CASE WHEN reasons = '' THEN [] ELSE string_split(reasons, '; ') END"
+_REPORTS = f"""{_ANALYSED}, met AS (SELECT rank, score, overlap, merge_worthy, {_REASON_LIST} AS rs, explanation, a, b FROM pairs JOIN units a ON a.ord = a_ord JOIN units b ON b.ord = b_ord), n AS (SELECT count(*) AS functions FROM units), p AS (SELECT count(*) AS found FROM pairs),
+blocks AS (SELECT 'text' AS kind, 0 AS part, ['', 'Code Similarity Report', repeat('=', 22), 'Functions analyzed: ' || functions || '  |  Threshold: 0.85', ''] AS ls FROM n
+UNION ALL SELECT 'text', rank, ['#' || rpad(rank::VARCHAR, 3, ' ') || '  score: ' || printf('%.4f', score)] || {_unit_text("a")} || {_unit_text("b")} || ['  structural overlap: ' || printf('%.2f', overlap) || CASE WHEN merge_worthy THEN ' (merge-worthy)' ELSE '' END]
+    || list_transform(rs, lambda x: '    • ' || x) || ['  → ' || explanation, ''] FROM met
+UNION ALL SELECT 'text', 1000, ['']
+UNION ALL SELECT 'markdown', 0, ['# Code Similarity Report', '', '**Functions analyzed:** ' || functions || ' | **Threshold:** 0.85 | **Pairs found:** ' || found, '', '---', ''] FROM n, p
+UNION ALL SELECT 'markdown', rank, ['## Match #' || rank || ' — Score: `' || printf('%.4f', score) || '`', '', '| | Location | Function | Signature | Patterns |', '|---|---|---|---|---|', {_unit_row("a")}, {_unit_row("b")}, '',
+    '**Structural overlap:** `' || printf('%.2f', overlap) || '` (' || CASE WHEN merge_worthy THEN '' ELSE 'not ' END || 'merge-worthy)', ''] || list_transform(rs, lambda x: '- ' || x) || CASE WHEN len(rs) > 0 THEN [''] ELSE [] END || ['> ' || explanation, '', '---', ''] FROM met
+UNION ALL SELECT 'markdown', 1000, ['']),
+lines AS (SELECT kind, part, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM blocks)
+SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY part, i) - 1)::INT AS n, line FROM lines"""
+
+
+@query(_REPORTS)
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both reports of the analysis, by lines. It is the top-N that is rendered."""
-    pairs = [r.asDict(recursive=True) for r in _analysed(spark, sf_dir).orderBy("rank").collect()]
-    count = units(spark, sf_dir).count()
-    lines = [(kind, n, line) for kind, f in (("text", report.text), ("markdown", report.markdown)) for n, line in enumerate(f(pairs, 0.85, count).split("\n"))]
+    own = _units(spark, sf_dir)
+    found = analyse(own, Settings(threshold=0.85, top=TOP), embedding.HashEmbedder(), chat=_Echo()).pairs
+    pairs = [r.asDict(recursive=True) for r in found.orderBy("rank").collect()]
+    lines = [(kind, n, line) for kind, f in (("text", report.text), ("markdown", report.markdown)) for n, line in enumerate(f(pairs, 0.85, own.count()).split("\n"))]
     return spark.createDataFrame(lines, "kind string, n int, line string")
 
 
-@query()
+_NAME = "CASE WHEN coalesce({0}.package, '') <> '' THEN {0}.package || '.' || {0}.name ELSE {0}.name END"
+
+
+@query(
+    _TOP_COMPARED
+    + f""", ranked AS (SELECT row_number() OVER (ORDER BY score DESC, a_ord, b_ord)::INT AS rank, a_ord, b_ord FROM {_BEST} q)
+SELECT rank, {_NAME.format("a")} || ' ~ ' || {_NAME.format("b")} || ':' || array_to_string(list_transform({_REASON_LIST}, lambda x: ' [' || x || ']'), '') AS explanation, NULL::VARCHAR AS warning
+FROM ranked JOIN compared USING (a_ord, b_ord) JOIN units a ON a.ord = a_ord JOIN units b ON b.ord = b_ord"""
+)
 def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's template filled in for each pair of the top-N."""
     template = "{{.A.Name}} ~ {{.B.Name}}{{if .Evidence}}:{{range .Evidence.Reasons}} [{{.}}]{{end}}{{end}}"

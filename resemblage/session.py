@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -49,13 +50,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset, as in tests, one below the warehouse."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    return (place or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Only where all run on this machine it may be unset, as in tests; then it is one below the warehouse. Elsewhere executors would
+    each write to a disk of their own, so it is an error.
+    """
+    if place := spark.conf.get("spark.checkpoint.dir", None):
+        return place.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: read often, computed once, there when an executor is lost."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder: read often, computed once, there when an executor is lost.
+
+    It goes when the driver ends, not before: a result may be computed from it at any time till then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _forget_at_end(spark, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget_at_end(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 0, in ``name``. Rows are sorted by ranges, and each range numbers its own."""
+    rows = written(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(part.alias("p")).count().select("p", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")).alias("start"))  # a row for each range
+    return rows.join(F.broadcast(starts), part == F.col("p")).withColumn(name, F.col("start") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import UNITS
+from ..session import numbered as in_order
 from . import golang
 
 SKIPPED = frozenset([".claude", ".git", ".idea", ".vscode", "build", "testdata", "vendor"])
@@ -64,13 +66,31 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     """``(file_ord, path, content, warning)`` of a tree that all executors can open.
 
     Only the list of paths is made on the driver. A file that can't be read has null
-    content and a warning.
+    content and a warning. A root with a scheme is a tree of ``remote_files``.
     """
+    if "://" in root:
+        return remote_files(spark, root)
     paths = [(i, p, os.path.abspath(p)) for i, p in enumerate(walk(root))]
     listed = spark.createDataFrame(paths, "file_ord long, path string, place string").repartition(max(1, len(paths) // FILES_PER_TASK), "file_ord")
     return listed.mapInArrow(_read, "file_ord long, path string, content binary, warning string")
 
 
+def remote_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(file_ord, path, content, warning)`` of a tree on any file system that Spark reads, listed and read by executors.
+
+    Folders that are skipped and the order of files are those of ``files``. Names that begin with "_" or "." are hidden to Spark and left
+    out; a file that can't be read is an error.
+    """
+    base = root.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{EXTENSION}").load(base)
+    start = spark._jvm.org.apache.hadoop.fs.Path(base)
+    start = start.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(start).toString()
+    below = F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(re.sub('^file:/+', 'file:/', start)) + 2})")
+    skipped = F.exists(F.slice(F.split(below, "/"), 1, F.size(F.split(below, "/")) - 1), lambda x: x.isin(*sorted(SKIPPED)))
+    rows = found.filter(~skipped if os.path.basename(base) not in SKIPPED else F.lit(False)).select(F.concat(F.lit(base + "/"), below).alias("path"), "content")
+    return numbered(rows).withColumn("warning", F.lit(None).cast("string"))
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -92,7 +112,7 @@ def parse(found: DataFrame) -> DataFrame:
 def numbered(found: DataFrame) -> DataFrame:
     """``(path, content)`` from any source, with ``file_ord`` in the order of a walk (folder by folder, not of whole paths).
 
-    The order of all paths takes one pass over them in one place; contents stay where they are.
+    Paths are sorted by ranges; contents stay where they are.
     """
-    order = found.select("path").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long") - 1)
-    return found.join(order, "path").select("file_ord", "path", "content")
+    paths = found.select("path").distinct().withColumn("steps", F.split("path", "/"))
+    return found.join(in_order(paths, "file_ord", "steps").select("path", "file_ord"), "path").select("file_ord", "path", "content")

@@ -51,11 +51,11 @@ def test_against_the_model(spark):
         assert [tuple(r) for r in got] == docs
 
 
-def test_both_plans_of_the_text_scan_agree(spark):
+def test_parts_of_the_text_scan_agree(spark):
     rows = some_units(9)
     units = spark.createDataFrame([tuple(u[c] for c in UNITS.names) for u in rows], UNITS)
-    a, b = (sorted(map(tuple, callgraph.text_edges(units, broadcast=n).collect())) for n in (1 << 20, 0))
-    assert a == b and a
+    a, b, c = (sorted(map(tuple, callgraph.text_edges(units, broadcast=n).collect())) for n in (1 << 20, 9, 1))
+    assert a == b == c and a
 
 
 def test_no_units(spark):

@@ -37,3 +37,12 @@ def test_files_and_units(spark, tmp_path):
 def test_numbered(spark):
     df = spark.createDataFrame([(p, b"") for p in ("a-b.go", "a.go", "a/b.go")], "path string, content binary")
     assert [r["path"] for r in tree.numbered(df).orderBy("file_ord").collect()] == ["a/b.go", "a-b.go", "a.go"]
+
+
+def test_a_tree_on_any_file_system(spark, tmp_path):
+    for p in ("x_test.go", "a.go", "a/b.go", "a-b.go", "vendor/v.go", "a/testdata/t.go", "build/b.go", "c.GO", "n.txt", "dir/in.go"):
+        put(tmp_path, p, f"package p\nfunc f{len(p)}() {{}}\n")
+    local = [(os.path.relpath(r["path"], tmp_path), bytes(r["content"])) for r in tree.files(spark, str(tmp_path)).orderBy("file_ord").collect()]
+    remote = [(r["path"].removeprefix(f"file://{tmp_path}/"), bytes(r["content"])) for r in tree.files(spark, f"file://{tmp_path}/").orderBy("file_ord").collect()]
+    assert remote == local and len(local) == 5
+    assert tree.files(spark, f"file://{tmp_path}/vendor").count() == 0

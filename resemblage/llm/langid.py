@@ -29,7 +29,7 @@ from .words import _IN_WORD, lowered
 SAMPLE = 400
 BUCKETS, DIMENSIONS, EPOCHS, RATE, SEED = 1 << 16, 16, 5, 0.2, 11
 HELD_OUT = 0.3
-#: Of the held-out rows that are accepted so many may be wrong; at most so many are rejected for that; a language is more probable than all others together.
+#: Of the held-out rows that are accepted so many may be wrong, and an accepted language is more probable than all others together; but no more of them than this are rejected.
 ERROR, REJECTED, SURE = 0.02, 0.05, 0.5
 _GAP = 32
 _FOLD = np.where(_IN_WORD == 1, np.arange(256), _GAP).astype(np.uint8)
@@ -117,12 +117,12 @@ def step(e: np.ndarray, w: np.ndarray, bias: np.ndarray, h: np.ndarray, share: n
 
 
 def threshold(confidence: np.ndarray, right: np.ndarray, error: float = ERROR, rejected: float = REJECTED, sure: float = SURE) -> float:
-    """The least confidence at which of the rows that have it or more ``error`` at most are wrong; ``sure`` at least, and for that no more than ``rejected`` of the rows are below."""
+    """The least confidence, ``sure`` or more, at which of the rows that have it or more ``error`` at most are wrong; less if more than ``rejected`` of the rows would be below."""
     order = np.argsort(confidence)
     wrong = np.cumsum(~right[order][::-1])[::-1] / np.arange(len(order), 0, -1)  # of a row and those above it
     few = np.flatnonzero(wrong <= error)
-    at = min(int(few[0]) if len(few) else len(order) - 1, int(rejected * len(order)))
-    return max(sure, float(confidence[order[at]]) if at else 0.0)
+    wanted = confidence[order[few[0]]] if len(few) and few[0] else 0.0 if len(few) else 1.0
+    return float(min(max(sure, wanted), confidence[order[int(rejected * len(order))]]))
 
 
 def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:

@@ -17,8 +17,8 @@ SEED = "mix-1"
 POWER = 0.5
 #: Above this rate a document's count is the sum of several draws, as exp(-rate) would vanish.
 PART = 500.0
-#: A table of so many sources at most is broadcast (some hundred bytes each); a larger one is joined by salted keys.
-BROADCAST_SOURCES, SALTS = 10_000, 16
+#: A table of the sources' distributions of so many bytes at most is broadcast; a larger one is joined by salted keys.
+BROADCAST, SALTS = 16_000_000, 16
 _NONE = "(none)"
 
 
@@ -51,9 +51,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     else:
         weight = F.lit(0.0)
     sizes = checkpoint(sizes.withColumn("weight", weight))
-    sums = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rate = F.when((F.col("size") > 0) & (F.col("all_weight") > 0), F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).otherwise(0.0)
-    out = sizes.crossJoin(F.broadcast(sums)).withColumn("rate", rate)  # the broadcast side is one row
+    all_size, all_weight = (x or 0.0 for x in sizes.agg(F.sum("size"), F.sum("weight")).first())
+    rate = F.when((F.col("size") > 0) & F.lit(all_weight > 0), F.col("weight") / F.lit(all_weight or 1.0) * F.lit(all_size) / F.col("size")).otherwise(0.0)
+    out = sizes.withColumn("rate", rate)
     out = out.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART).cast("int"))).withColumn("r", F.col("rate") / F.col("parts"))
     start = F.struct(F.exp(-F.col("r")).alias("p"), F.array(F.exp(-F.col("r"))).alias("c"))
     steps = F.sequence(F.lit(1), F.ceil(F.col("r") + 12 * F.sqrt("r") + 30).cast("int"))
@@ -65,17 +65,18 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     return out.select("source", "rate", "parts", F.aggregate(steps, start, step)["c"].alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, seed: str = SEED, broadcast: int = BROADCAST) -> DataFrame:
     """``documents`` -> its five columns, ``copy``, ``rate`` and ``shuffle_key``, a row for each copy, in shuffled order.
 
     A null source is a source of its own. Rows that share a ``doc_id`` (null
     too) come equally often, as the hash is of the id. Sources without weight
     or characters give nothing; an empty table gives no rows. The order is by
-    ``shuffle_key`` within partitions that are chosen by its hash.
+    ``shuffle_key`` within partitions that are chosen by its hash. Null and empty texts have no characters but come as often as others
+    of their source; texts of any length are whole; further columns are left out. The rows don't depend on ``broadcast``.
     """
     table = checkpoint(rates(docs, weights, power).withColumnsRenamed({"source": "m_source", "rate": "m_rate", "parts": "m_parts", "cdf": "m_cdf"}))
     rows = pick(docs, *DOCUMENT_COLUMNS)
-    if table.count() <= BROADCAST_SOURCES:
+    if (table.agg(F.sum(8 * F.size("m_cdf") + F.octet_length("m_source") + 100)).first()[0] or 0) <= broadcast:
         rows = rows.join(F.broadcast(table), _name() == F.col("m_source"))
     else:
         table = table.withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The copies that ``mix`` gives, with the five columns of ``documents``."""
+    """The copies that ``mix`` gives, with the five columns of ``documents``; nulls, empty and long texts, repeated rows, empty tables and further columns are as there."""
     return mix(docs, weights).select(*DOCUMENT_COLUMNS)
 
 

@@ -112,13 +112,15 @@ def test_step_equals_a_plain_one():
 def test_threshold_equals_brute_force():
     rng = np.random.default_rng(2)
     for n in (1, 7, 400):
-        confidence = rng.random(n)
-        right = rng.random(n) < confidence
-        got = langid.threshold(confidence, right, 0.1, 1.0, 0.0)
-        ok = [t for t in sorted(confidence) if 1 - right[confidence >= t].mean() <= 0.1]
-        assert got == (ok[0] if ok and ok[0] != min(confidence) else 0.0 if ok else max(confidence)) or not ok
-        assert (confidence < langid.threshold(confidence, right, 0.0, 0.05, 0.0)).sum() <= 0.05 * n
-    assert langid.threshold(np.array([0.3, 0.9]), np.array([True, True])) == langid.SURE
+        for _ in range(20):
+            confidence = rng.random(n)
+            right = rng.random(n) < confidence
+            ok = [t for t in sorted(confidence) if 1 - right[confidence >= t].mean() <= 0.1]
+            want = 1.0 if not ok else 0.0 if ok[0] == min(confidence) else ok[0]
+            assert langid.threshold(confidence, right, 0.1, 0.999, 0.0) == min(want, max(confidence))
+            assert langid.threshold(confidence, right, 0.1, 0.999, 0.7) == min(max(want, 0.7), max(confidence))
+            assert (confidence < langid.threshold(confidence, right, 0.0, 0.05)).sum() <= 0.05 * n
+    assert langid.threshold(np.array([0.3] + [0.9] * 39), np.ones(40, bool)) == langid.SURE
 
 
 def test_copies_are_held_out_together(spark):

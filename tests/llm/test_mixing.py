@@ -51,11 +51,10 @@ def test_copies_are_shuffled(spark):
     assert abs(np.corrcoef(order, np.arange(len(order)))[0, 1]) < 0.1
 
 
-def test_many_sources_are_joined_alike(spark, monkeypatch):
+def test_many_sources_are_joined_alike(spark):
     docs = documents(spark, [(i, "text " * (i % 7), "en", f"s{i % 40}", 5) for i in range(400)])
     want = sorted(map(str, mixing.mix(docs).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    assert sorted(map(str, mixing.mix(docs).collect())) == want
+    assert sorted(map(str, mixing.mix(docs, broadcast=0).collect())) == want
 
 
 def test_hostile_table(spark):

@@ -69,14 +69,16 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    _forget_at_end(spark, path)
     df.write.parquet(path)
+    forget(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget_at_end(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, path: str, now: bool = False) -> None:
+    """Deletes what is at ``path``, at once or when the driver ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(where, True) if now else fs.deleteOnExit(where)
 
 
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:

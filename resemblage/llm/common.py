@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder, written
+
+__all__ = ["DOCUMENT_COLUMNS", "Memo", "byte_texts", "checkpoint", "pick", "shared_folder", "slices", "table", "written"]
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -33,15 +36,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{where[n]}").alias(n) for n in names])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests, it is one below the session's warehouse.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    return (place or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, in the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -50,13 +44,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, to be read more than once or after an executor is lost."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

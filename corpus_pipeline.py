@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from resemblage.llm import bpe, langid, mixing, pii, simhash
 from resemblage.llm.common import shared_folder, table
-from resemblage.session import ship
+from resemblage.session import forget, ship
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over the table ``documents``.
 
     What a stage gives is written as Parquet into the folder that all executors
-    share, and read again as the next one's documents. Without documents, or if a stage keeps none, there are no rows.
+    share, and read again as the next one's documents; it goes once the next one is written, and the last when the driver ends. Without documents, or if a stage keeps none, there are no rows.
     """
     ship(spark)
     place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -76,4 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{place}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            forget(spark, f"{place}/{k - 1}", now=True)
+    forget(spark, place)
     return docs

@@ -1,8 +1,7 @@
 """Go source -> functions: a tokenizer and a scanner of declarations.
 
-It checks what a file's outline needs (literals and comments that end, brackets
-that pair, a package clause, known declarations), not the grammar of expressions: a
-file that only the full grammar would refuse still gives rows.
+A file whose literals, comments or brackets don't end, or whose tokens don't follow the
+grammar (``grammar.check``), gives no rows.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from . import grammar
+
 KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 _ENDS_STATEMENT = frozenset(["break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
 _TOKEN = re.compile(
@@ -210,7 +211,7 @@ def functions(source: str) -> list[Function]:
     """The top-level functions and methods of a file, in order; none if the file is malformed."""
     try:
         return _functions(source.removeprefix("﻿"))
-    except (Malformed, IndexError, KeyError):
+    except (Malformed, grammar.Unexpected, IndexError, KeyError):
         return []
 
 
@@ -219,6 +220,7 @@ def _functions(source: str) -> list[Function]:
     closers = _closers(ts)
     if len(ts) < 2 or ts[0].text != "package" or ts[1].kind != "ident" or ts[1].text in KEYWORDS or len(ts) > 2 and ts[2].text != ";":
         raise Malformed("package")
+    grammar.check(ts, KEYWORDS)
     package, out, i, imports = ts[1].text, [], 3, True
     ends = {last: k for k, (_, last, _) in enumerate(comments)}
     moved = [(line, int(m.group(1)) - line - 1) for line, _, c in comments if (m := _LINE.match(c))]

@@ -30,7 +30,7 @@ SAMPLE = 400
 BUCKETS, DIMENSIONS, EPOCHS, RATE, SEED = 1 << 16, 16, 5, 0.2, 11
 HELD_OUT = 0.3
 #: Of the held-out rows that are accepted so many may be wrong, and an accepted language is more probable than all others together; but no more of them than this are rejected.
-ERROR, REJECTED, SURE = 0.02, 0.05, 0.5
+ERROR, REJECTED, SURE = 0.05, 0.05, 0.5
 _GAP = 32
 _FOLD = np.where(_IN_WORD == 1, np.arange(256), _GAP).astype(np.uint8)
 _SHIFT = np.uint32(16)

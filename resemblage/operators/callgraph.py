@@ -97,12 +97,11 @@ def _neighbours(docs: DataFrame, column: str, info: DataFrame, prefix: str) -> D
     """``(key, <prefix>_patterns, <prefix>_packages)`` over the units that a list names."""
     near = docs.select("key", F.explode(column).alias("neighbour"))
     met = near.join(info.withColumnRenamed("name", "neighbour"), "neighbour")
-    # each value once before any list is made, so that a list is no longer than there are tags, or packages
-    package = F.when(F.coalesce(F.col("package"), F.lit("")) != "", F.array(F.struct(F.lit(False).alias("tag"), F.col("package").alias("v")))).otherwise(F.array().cast("array<struct<tag: boolean, v: string>>"))
-    values = F.concat(F.transform(listed(F.col("patterns")), lambda p: F.struct(F.lit(True).alias("tag"), p.alias("v"))), package)
-    once = met.select("key", F.explode(values).alias("x")).select("key", "x.tag", "x.v").distinct()
-    lists = {name: F.sort_array(F.collect_list(F.when(F.col("tag") == tag, F.col("v")))).alias(f"{prefix}_{name}") for name, tag in (("patterns", True), ("packages", False))}
-    return once.groupBy("key").agg(*lists.values())
+    # sets of single values, so that no buffer is longer than there are tags or packages, however many neighbours there are
+    package = F.when(F.coalesce(F.col("package"), F.lit("")) != "", F.col("package"))
+    tag = F.explode_outer(listed(F.col("patterns")))
+    values = met.select("key", package.alias("package"), tag.alias("tag"))
+    return values.groupBy("key").agg(F.sort_array(F.collect_set("tag")).alias(f"{prefix}_patterns"), F.sort_array(F.collect_set("package")).alias(f"{prefix}_packages"))
 
 
 def concept_docs(units: DataFrame, graph: DataFrame | None = None) -> DataFrame:

@@ -254,6 +254,7 @@ UNION ALL SELECT path, 'check' || z, 14, '', false, lower(p_type), '', '(a, b st
 def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Go file for each part."""
     p = table(spark, sf_dir, "part")
+    p = p.repartition(-(-p.count() // tree.FILES_PER_TASK // 4) or 1)  # a table of narrow rows may be read by one task, and a file's text takes long to parse
     size = F.col("p_size").cast("string")
     source = F.concat(
         F.lit("package "), F.lower("p_type"), F.lit("\n\n// "), F.col("p_name"), F.lit("\n//go:noinline\nfunc (r *Part) Price"), size, F.lit("(n int, s []string) (float64, error) {\n\tfor i := range s { // ignored(1)\n\t\tcheck"), size,

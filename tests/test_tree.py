@@ -46,3 +46,9 @@ def test_a_tree_on_any_file_system(spark, tmp_path):
     remote = [(r["path"].removeprefix(f"file://{tmp_path}/"), bytes(r["content"])) for r in tree.files(spark, f"file://{tmp_path}/").orderBy("file_ord").collect()]
     assert remote == local and len(local) == 5
     assert tree.files(spark, f"file://{tmp_path}/vendor").count() == 0
+
+
+def test_files_of_a_small_table_are_dealt_to_many_tasks(spark):
+    from resemblage.plans.queries import go_files
+
+    assert go_files(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() >= 10

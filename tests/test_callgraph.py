@@ -73,3 +73,26 @@ def test_last_document_of_a_key_and_missing_sides(spark):
     assert evidence.with_evidence(pairs, docs).first()["evidence"] is not None
     assert evidence.with_evidence(pairs, docs.filter(F.lit(False))).first()["evidence"] is None
     assert evidence.struct_min(evidence.with_evidence(pairs, docs.filter(F.lit(False))), 0.1).count() == 0
+
+
+def test_names_are_looked_for_in_one_pass(spark):
+    """However many names there are, a task holds a bitmap of bounded size and passes over the bodies once."""
+    rows = some_units(9)
+    units = spark.createDataFrame([tuple(u[c] for c in UNITS.names) for u in rows], UNITS)
+    found = callgraph.text_edges(units, broadcast=1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, callgraph.text_edges(units).collect()))
+    names = spark.range(1000).selectExpr("concat('name', id) AS callee")
+    assert len(callgraph._bitmap(names, 22)) == 1 << 19
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """Documents of dealt edges are the same, and partitions are as many as rows need, whatever they compress to."""
+    monkeypatch.setattr(callgraph, "EDGES", 2)
+    rows = some_units(4)
+    units = spark.createDataFrame([tuple(u[c] for c in UNITS.names) for u in rows], UNITS).repartition(3)
+    graph, docs = model(rows)
+    assert {r["name"]: r["callers"] for r in callgraph.call_graph(units).collect()} == graph
+    found = callgraph.concept_docs(units)
+    assert [tuple(r) for r in found.select("ord", "callers", "role", "caller_patterns", "callee_patterns", "caller_packages", "callee_packages").orderBy("ord").collect()] == docs
+    assert found._jdf.queryExecution().executedPlan().toString().count(f", {-(-sum(len(u['callees']) for u in rows) // 2)}), REPARTITION_BY_NUM") >= 5

@@ -1,6 +1,7 @@
 """The call graph and concept documents against a plain model of their rules, on random units."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,25 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch):
     found = callgraph.concept_docs(units)
     assert [tuple(r) for r in found.select("ord", "callers", "role", "caller_patterns", "callee_patterns", "caller_packages", "callee_packages").orderBy("ord").collect()] == docs
     assert found._jdf.queryExecution().executedPlan().toString().count(f", {-(-sum(len(u['callees']) for u in rows) // 2)}), REPARTITION_BY_NUM") >= 5
+
+
+def test_edges_are_shuffled_to_their_callee_once(spark, monkeypatch):
+    """Lists of callers and what callees tell of themselves come from one shuffle of edges, and lists of callers are in no later one."""
+    monkeypatch.setattr(callgraph, "EDGES", 2)
+    units = spark.createDataFrame([tuple(u[c] for c in UNITS.names) for u in some_units(6)], UNITS)
+    found = callgraph.concept_docs(units)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange \[callee#\d+, caller#\d+, caller_ord#\d+L, token#\d+, scanned#\d+\]", plan)
+
+
+def test_numbers_for_what_is_known_and_the_thing_itself_agree(spark, monkeypatch):
+    """Few packages and patterns go by number, many as they are; null and odd ones too."""
+    rows = some_units(7)
+    rows[0] |= {"package": None, "patterns": None}
+    rows[-1] |= {"package": 'a"b\\é\n', "patterns": ["x", '"']}  # the last of its name
+    units = spark.createDataFrame([tuple(u[c] for c in UNITS.names) for u in rows], UNITS)
+    few = callgraph.concept_docs(units).orderBy("ord").collect()
+    monkeypatch.setattr(callgraph, "TOKENS", 0)
+    assert callgraph.concept_docs(units).orderBy("ord").collect() == few
+    assert any('a"b\\é\n' in r["caller_packages"] + r["callee_packages"] for r in few)

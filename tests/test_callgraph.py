@@ -119,3 +119,14 @@ def test_numbers_for_what_is_known_and_the_thing_itself_agree(spark, monkeypatch
     monkeypatch.setattr(callgraph, "TOKENS", 0)
     assert callgraph.concept_docs(units).orderBy("ord").collect() == few
     assert any('a"b\\é\n' in r["caller_packages"] + r["callee_packages"] for r in few)
+
+
+def test_documents_that_pairs_need(spark):
+    """Evidence of few pairs is made of their own documents; those that share a key are all kept, as the last counts."""
+    rows = some_units(5, 12)
+    units = spark.createDataFrame([tuple(u[c] for c in UNITS.names) for u in rows], UNITS)
+    docs = callgraph.concept_docs(units)
+    pairs = evidence.with_units(spark.createDataFrame([(0, 3, 0.9)], "a_ord long, b_ord long, score double"), units)
+    few, keys = evidence.docs_of(pairs, docs), {(u["package"], u["name"]) for u in rows[:2]}
+    assert sorted(r["ord"] for r in few.collect()) == [u["ord"] for u in rows if (u["package"], u["name"]) in keys]
+    assert evidence.with_evidence(pairs, few).collect() == evidence.with_evidence(pairs, docs).collect()
